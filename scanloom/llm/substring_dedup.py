@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ from scanloom.llm.common import materialise
 LENGTH, KGRAM = 100, 32
 SPAN = LENGTH - KGRAM + 1
 #: Bytes worked on at once, and their bits; anchors in a bucket of step 1 and suffixes in one of step 2, about.
-PIECE, BITS, BUCKET, SORTED = 1 << 20, 24, 1 << 20, 1 << 17
+PIECE, BITS, BUCKET, SORTED = 1 << 19, 24, 1 << 18, 1 << 16
 SAMPLE = 20_000
 _BYTE = np.random.default_rng(977).integers(1, 1 << 63, 256, dtype=np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -143,10 +144,26 @@ def _group_value(first: np.ndarray, values: np.ndarray) -> np.ndarray:
     return values[np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))]
 
 
-_STEP1 = np.dtype([("gram", "<u8"), ("context", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("id", "<i8"), ("hash", "<u8")])
+_STEP1 = np.dtype([("gram", "<u8"), ("context", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("id", "<i8"), ("hash", "<u4")])
 _AT = np.dtype([("doc", "<u4"), ("at", "<u4")])
 _COVER = np.dtype([("doc", "<u4"), ("start", "<u4"), ("stop", "<u4")])
-_STEP2 = np.dtype([("doc", "<u4"), ("at", "<u4"), ("id", "<i8"), ("hash", "<u8"), ("left", "u1"), ("right", "u1"), ("before", "u1", SPAN - 1), ("after", "u1", LENGTH)])
+_STEP2 = np.dtype([("doc", "<u4"), ("at", "<u4"), ("id", "<i8"), ("hash", "<u4"), ("left", "u1"), ("right", "u1"), ("before", "u1", SPAN - 1), ("after", "u1", LENGTH)])
+
+
+def _pack(rows: np.ndarray, transpose: bool) -> bytes:
+    """Rows compressed; transposed, all first bytes come first, then all second ones: sorted and small numbers shrink."""
+    raw = rows.view(np.uint8).reshape(len(rows), -1)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw.T if transpose else raw).tobytes())
+
+
+def _unpack(packed: list[bytes], kind: np.dtype, transposed: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of all packs, and the number of rows of each."""
+    parts = []
+    for p in packed:
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(p) if p else b"", np.uint8)
+        raw = raw.reshape(kind.itemsize, -1).T if transposed else raw.reshape(-1, kind.itemsize)
+        parts.append(np.ascontiguousarray(raw).reshape(-1).view(kind))
+    return np.concatenate(parts) if parts else np.zeros(0, kind), np.array([len(x) for x in parts], np.int64)
 
 
 def _rows(columns: dict[str, list], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -166,9 +183,10 @@ def _send_anchors(n_buckets: int):
                 cover = np.zeros(len(repeats), _COVER)
                 cover["doc"], cover["start"], cover["stop"] = repeats.T
                 # documents by their order; those equal in id and text are one document
-                order = np.lexsort((b.hashes, b.ids))
+                hashes = b.hashes >> np.uint64(32)
+                order = np.lexsort((hashes, b.ids))
                 place = np.empty(len(order), np.int64)
-                place[order] = np.cumsum(_firsts(b.ids[order], b.hashes[order]))
+                place[order] = np.cumsum(_firsts(b.ids[order], hashes[order]))
                 when = place[doc] << 32 | at
                 by = np.lexsort((when, context, gram))
                 same = _group_value(_firsts(gram[by], context[by]), when[by]) == when[by]
@@ -178,10 +196,10 @@ def _send_anchors(n_buckets: int):
                 rows = np.zeros(len(go), _STEP1)
                 for k, v in (("gram", gram), ("context", context), ("doc", doc), ("at", at)):
                     rows[k] = v[go]
-                rows["id"], rows["hash"] = b.ids[doc[go]], b.hashes[doc[go]]
+                rows["id"], rows["hash"] = b.ids[doc[go]], b.hashes[doc[go]] >> np.uint64(32)
                 bucket = (rows["gram"] >> np.uint64(32)).astype(np.int64) * n_buckets >> 32  # rows come in the order of it
                 cuts = np.flatnonzero(np.diff(bucket)) + 1
-                parts = [(int(bucket[p[0]]), rows[p].tobytes()) for p in np.split(np.arange(len(rows)), cuts) if len(p)]
+                parts = [(int(bucket[p[0]]), _pack(rows[p], True)) for p in np.split(np.arange(len(rows)), cuts) if len(p)]
                 # what needs no bucket goes along with any
                 parts = parts or [(0, b"")]
                 n = len(parts)
@@ -193,8 +211,8 @@ def _send_anchors(n_buckets: int):
 def _match_contexts(table: pa.Table) -> pa.Table:
     """Step 1 in a bucket."""
     names, sent = table.column("block").to_pylist(), table.column("sent").to_pylist()
-    rows = np.frombuffer(b"".join(sent), _STEP1)
-    block = np.repeat(np.arange(len(names)), [len(s) // _STEP1.itemsize for s in sent])
+    rows, sizes = _unpack(sent, _STEP1, True)
+    block = np.repeat(np.arange(len(names)), sizes)
     by = np.lexsort((rows["at"], rows["hash"], rows["id"], rows["context"], rows["gram"]))
     r, block = rows[by], block[by]
     new = _firsts(r["gram"], r["context"])
@@ -223,7 +241,7 @@ def _suffixes(b: Block, more: bytes) -> np.ndarray:
     at = b.first[doc] + where["at"]
     raw = np.frombuffer(b.raw, np.uint8)
     left, right = np.minimum(SPAN - 1, where["at"]), np.minimum(LENGTH, b.last[doc] - at)
-    rows["doc"], rows["at"], rows["id"], rows["hash"], rows["left"], rows["right"] = doc, where["at"], b.ids[doc], b.hashes[doc], left, right
+    rows["doc"], rows["at"], rows["id"], rows["hash"], rows["left"], rows["right"] = doc, where["at"], b.ids[doc], b.hashes[doc] >> np.uint64(32), left, right
     for field, size, index in (("before", left, lambda k: at - 1 - k), ("after", right, lambda k: at + k)):
         for k in range(rows[field].shape[1]):
             some = size > k
@@ -245,7 +263,7 @@ def _send_suffixes(splitters: np.ndarray):
                 bucket = np.searchsorted(splitters, _leading(rows), "right")
                 by = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.diff(bucket[by])) + 1
-                parts = [(int(bucket[p[0]]), rows[p].tobytes()) for p in np.split(by, cuts) if len(p)]
+                parts = [(int(bucket[p[0]]), _pack(rows[p], False)) for p in np.split(by, cuts) if len(p)]
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), pa.array([name] * len(parts), pa.int64()), pa.array([p[1] for p in parts], pa.binary())], ["bucket", "block", "sent"])
 
     return sent
@@ -308,8 +326,8 @@ def repeated_windows(rows: np.ndarray) -> np.ndarray:
 def _match_suffixes(table: pa.Table) -> pa.Table:
     """Step 2 in a bucket."""
     names, sent = table.column("block").to_pylist(), table.column("sent").to_pylist()
-    rows = np.frombuffer(b"".join(sent), _STEP2)
-    block = np.repeat(np.arange(len(names)), [len(s) // _STEP2.itemsize for s in sent])
+    rows, sizes = _unpack(sent, _STEP2, False)
+    block = np.repeat(np.arange(len(names)), sizes)
     again = repeated_windows(rows)
     # offsets in a row give one run of bytes
     edge = np.diff(np.concatenate([np.zeros((len(rows), 1), np.int8), again.astype(np.int8), np.zeros((len(rows), 1), np.int8)], axis=1), axis=1)
@@ -357,7 +375,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are UTF-8 bytes; null is empty. A byte goes if a string of LENGTH bytes that covers it also starts earlier: in a
     document with a smaller id, or earlier in the same. Null ids come before all others; documents with equal ids come in
-    the order of a hash of their texts, and rows that repeat both are one document, so that each of them gets its result.
+    the order of a 32-bit hash of their texts, and rows that repeat both are one document, so that each of them gets its result.
     Texts of under LENGTH bytes stay whole. An empty table gives an empty result. Ids are integers; other columns are
     ignored. A character may lose some of its bytes, so ``kept`` is binary.
     """
