@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from scanloom.plans import geometry_queries, map_queries, pattern_queries, registry
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "remove_static_background"
+MODULES = (pattern_queries, map_queries, geometry_queries)
 
-FLAGSHIP = ""
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)

@@ -1 +1 @@
-
+"""Column expressions and closed forms: pixels, geometry, windows."""

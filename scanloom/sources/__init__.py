@@ -1 +1,55 @@
+"""Where patterns come from and go to."""
 
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+from scanloom.operators.detector import Detector
+from scanloom.scan import Scan
+from scanloom.sources import ebsp, edax, images, nordif, store
+
+SOURCES = (nordif.NordifSource, edax.EdaxSource, ebsp.EbspSource)
+#: Formats by file extension.
+EXTENSIONS = {"dat": "nordif", "up1": "edax_up", "up2": "edax_up", "ebsp": "oxford_ebsp"}
+HDF5 = ("h5", "hdf5", "h5ebsd", "h5oina")
+
+
+def register(spark: SparkSession) -> None:
+    """Make the formats known to ``spark.read.format``."""
+    for source in SOURCES:
+        spark.dataSource.register(source)
+
+
+def load(spark: SparkSession, path: str, format: str | None = None, **options) -> Scan:
+    """A scan from a file or a folder: by extension, a folder of images, or a store of scans (``scan_id`` picks one)."""
+    suffix = path.rstrip("/").rsplit("/", 1)[-1].rpartition(".")[2].lower() if "." in path.rsplit("/", 1)[-1] else ""
+    name = format or EXTENSIONS.get(suffix)
+    if name is None and suffix in HDF5:
+        raise ImportError("HDF5 files need h5py, which isn't there; write them to a store of Parquet tables first")
+    if name == "images" or (name is None and options.get("pattern")):
+        df = images.read_directory(spark, path, **options)
+        shape = df.select("rows", "cols").first()
+        return Scan(df.drop("rows", "cols"), tuple(shape), "uint8")
+    if name is None:
+        return store.read_scan(spark, path, options.get("scan_id"))
+    register(spark)
+    known = {s.name(): s for s in SOURCES}
+    if name not in known:
+        raise ValueError(f"unknown format {name!r}, it is one of {sorted(known)}")
+    options = {k: str(v) for k, v in options.items()}
+    layout = known[name](options={"path": path, **options}).layout()
+    df = spark.read.format(name).options(**options).load(path)
+    detector = background = None
+    if "settings" in options:
+        detector = Detector(**nordif.read_settings(options["settings"]).detector())
+    if name == "nordif":
+        background = nordif.static_background(path.rpartition("/")[0] or ".")
+    return Scan(df, layout.shape, layout.dtype, (layout.ny, layout.nx), detector, background, step=layout.step, unit="um" if layout.step != (1.0, 1.0) else "px")
+
+
+def save(scan: Scan, path: str, scan_id: str = "1") -> None:
+    """To a raw file of 8-bit patterns if the path ends in .dat, else to a store of scans."""
+    if path.lower().endswith(".dat"):
+        nordif.write_nordif(scan.df, path)
+    else:
+        store.write_scan(scan, path, scan_id)
