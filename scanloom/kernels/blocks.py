@@ -63,8 +63,12 @@ def map_patterns(df: DataFrame, kernel: Kernel, out: StructType, size: int, colu
 
         for batch in batches:
             block, whole = to_block(batch.column(column), size)
-            made = kernel(block)
             columns = [batch.column(f.name) for f in kept]
+            if not len(block):
+                columns += [pa.nulls(len(whole), to_arrow_type(f.dataType)) for f in out]
+                yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
+                continue
+            made = kernel(block)
             columns += [from_block(np.asarray(made[f.name]), whole, to_arrow_type(f.dataType)) for f in out]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
 

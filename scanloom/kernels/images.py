@@ -7,6 +7,8 @@ import numpy as np
 
 def rescale(images: np.ndarray, out_range: tuple[float, float]) -> np.ndarray:
     """Each image's extremes mapped to ``out_range``; NaN for a constant image."""
+    if not len(images):
+        return images
     lo, hi = images.min(axis=(1, 2), keepdims=True), images.max(axis=(1, 2), keepdims=True)
     with np.errstate(invalid="ignore", divide="ignore"):
         scaled = (images - lo) / (hi - lo)

@@ -84,7 +84,7 @@ def average_neighbour_patterns(df: DataFrame, shape: tuple[int, int], window: Wi
         mine = whole[home]
         with np.errstate(invalid="ignore", divide="ignore"):
             means = (sums / weights[:, None])[mine]
-        pixels = images.rescale(means.reshape(-1, *shape), to).reshape(len(means), -1)
+        pixels = images.rescale(means.reshape(-1, *shape), to).reshape(len(means), size)
         out = table.take(pa.array(home))
         return out.set_column(out.schema.get_field_index("pixels"), "pixels", from_block(pixels, mine, pa.list_(pa.float64())))
 

@@ -104,7 +104,8 @@ class Scan:
     def map(self, function: Callable[[np.ndarray], np.ndarray], shape: tuple[int, int] | None = None) -> Scan:
         """``function`` of blocks (n, rows, columns) gives blocks of patterns, of another shape if it is said."""
         out = StructType([StructField("pixels", ArrayType(DoubleType()))])
-        made = map_patterns(self.df, lambda b: {"pixels": np.asarray(function(b.reshape(-1, *self.shape)), float).reshape(len(b), -1)}, out, self.n_pixels)
+        own = self.shape  # not self: a table can't go to the tasks
+        made = map_patterns(self.df, lambda b: {"pixels": np.asarray(function(b.reshape(-1, *own)), float).reshape(len(b), -1)}, out, self.n_pixels)
         return self._with(made, shape=shape or self.shape, dtype="float64")
 
     # Frequency domain
