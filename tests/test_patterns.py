@@ -129,7 +129,7 @@ def test_a_metric_of_ones_own_and_rotations(spark, df):
 def test_null_constant_and_short_patterns_give_null(spark):
     odd = spark.createDataFrame([(0, 0, 0, None), (1, 0, 1, [2] * 9), (2, 0, 2, [1, 2]), (3, 1, 0, PATTERNS[0])], "idx bigint, y int, x int, pixels array<smallint>")
     outs = [
-        intensity.rescale_intensity(odd.filter("idx <> 2")), intensity.normalize_intensity(odd.filter("idx <> 2")), intensity.remove_dynamic_background(odd, SHAPE),
+        intensity.rescale_intensity(odd.filter("idx <> 2")), intensity.normalize_intensity(odd.filter("idx <> 2")), intensity.remove_dynamic_background(odd, SHAPE, std=1),
         frequency.fft_filter(odd, SHAPE, np.ones(SHAPE), rescale_to=(0, 1)), neighbours.average_neighbour_patterns(odd, SHAPE, Window("circular", (1, 1))),
     ]
     for out in outs:
