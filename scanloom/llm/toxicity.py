@@ -30,6 +30,7 @@ WINDOW = 64
 ORDINARY, TOXIC, STARTS, Z = 600, 200, range(5, 14), 4.0
 #: Bytes saved by the toxic dictionary from which on a window counts as toxic.
 SAVED = 4
+N_FEATURES = 6
 _UP = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -125,9 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
 
     rows = sample.filter("part = 1").mapInArrow(measured, "label int, x array<double>").collect()
-    x, y = np.array([r["x"] for r in rows], np.float64).reshape(len(rows), -1), np.array([r["label"] for r in rows])
-    if not rows:
-        x = np.zeros((0, 6))
+    x, y = np.array([r["x"] for r in rows], np.float64).reshape(len(rows), N_FEATURES), np.array([r["label"] for r in rows])
     return ToxicityModel(ordinary, toxic, *logistic(x, y, counts))
 
 

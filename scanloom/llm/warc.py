@@ -28,7 +28,8 @@ ARCHIVE_BYTES, READ = 32 << 20, 1 << 18
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
-_BEGIN = re.compile(rb"\x1f\x8b\x08|(?<![^\n])WARC/[0-9]")
+#: Where a record may begin. What is before it may have lost its end, so a version line needs no line end before it.
+_BEGIN = re.compile(rb"\x1f\x8b\x08|WARC/[0-9]")
 _VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
 
 
