@@ -150,7 +150,7 @@ def best_of(scores: np.ndarray, index: np.ndarray, k: int) -> tuple[np.ndarray,
 def _search(ready: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray]], metric: SimilarityMetric, k: int) -> tuple[np.ndarray, np.ndarray]:
     best, which = np.zeros((len(ready), 0)), np.zeros((len(ready), 0), np.int64)
     for index, patterns in blocks:
-        if not len(index):
+        if not len(index) or not len(ready):
             continue
         step = max(1, CELLS // len(index))
         found = [best_of(metric.sign * metric.match(ready[a : a + step], patterns), index, k) for a in range(0, len(ready), step)]
