@@ -24,6 +24,12 @@ def grid_indices(grid_shape: tuple[int, ...] | int, nav_shape: tuple[int, ...] |
     return (axes, tuple(steps)) if return_spacing else axes
 
 
+def map_shape(df: DataFrame) -> tuple[int, int]:
+    """Rows and columns that the points of a map reach, counted from 0; one small aggregate."""
+    ny, nx = df.agg(F.coalesce(F.max("y") + 1, F.lit(0)), F.coalesce(F.max("x") + 1, F.lit(0))).first()
+    return ny, nx
+
+
 def extract_grid(df: DataFrame, grid_shape: tuple[int, int], nav_shape: tuple[int, int]) -> DataFrame:
     """The map points on a grid; the list of rows and columns is a filter that the scan gets."""
     ys, xs = grid_indices(grid_shape, nav_shape)

@@ -254,7 +254,9 @@ def fft_frequency_vectors(spark, d):
 
 @query(f"WITH {P} SELECT idx, y, x FROM p WHERE y IN (4, 8, 12, 16) AND x IN (5, 10, 15, 20)")
 def extract_grid(spark, d):
-    return selection.extract_grid(patterns(spark, d), (4, 5), (20, 25)).select("idx", "y", "x")
+    """The SQL has the grid of a 20 x 25 map; on larger tables the grid is of their own map."""
+    df = patterns(spark, d)
+    return selection.extract_grid(df, (4, 5), selection.map_shape(df)).select("idx", "y", "x")
 
 
 @query(f"WITH {P}, {PX} SELECT idx, CAST(y - 3 AS INTEGER) AS y, CAST(x - 5 AS INTEGER) AS x, pixel, {R('v')} AS v FROM px WHERE y >= 3 AND y < 9 AND x >= 5 AND x < 17")
@@ -302,7 +304,9 @@ def roi_is_not_rectangular(spark, d):
 
 @query(f"WITH {P}, {PX}, g AS (SELECT CAST(a.i AS INTEGER) AS y, CAST(b.i AS INTEGER) AS x, CAST(k.i AS INTEGER) AS pixel FROM range(20) a(i), range(25) b(i), range(64) k(i)) SELECT g.y, g.x, g.pixel, {R('coalesce(v, 0.0)')} AS v FROM g LEFT JOIN (SELECT * FROM px WHERE idx % 3 <> 0) px ON g.y = px.y AND g.x = px.x AND g.pixel = px.pixel")
 def fill_missing(spark, d):
-    return long(selection.fill_missing(patterns(spark, d).filter("idx % 3 <> 0"), (20, 25), 64), "y", "x")
+    """The SQL has the points of a 20 x 25 map; on larger tables all points of their own map are filled."""
+    df = patterns(spark, d)
+    return long(selection.fill_missing(df.filter("idx % 3 <> 0"), selection.map_shape(df), 64), "y", "x")
 
 
 @query("WITH s AS (SELECT CAST(5 + i AS DOUBLE) AS energy, i AS n FROM range(16) t(i)) SELECT energy, n FROM s WHERE abs(energy - 12.4) = (SELECT min(abs(energy - 12.4)) FROM s)")
