@@ -293,8 +293,8 @@ def euler_grid(spark, d):
 
 
 def _simulated(spark, d):
-    """Sixteen simulated patterns with orientations a little off, and with a projection centre a little off."""
-    grid = spark.createDataFrame([(k, *map(float, q)) for k, q in enumerate(_some_rotations())], "idx bigint, a double, b double, c double, d double")
+    """Simulated patterns and orientations a little off: one for each row of the table, or sixteen if there is none."""
+    grid = _quaternions(spark, d) if d else spark.createDataFrame([(k, *map(float, q)) for k, q in enumerate(_some_rotations())], "idx bigint, a double, b double, c double, d double")
     seen = _BANDS.get_patterns(grid, _SCREEN)
     tilt = math.radians(0.8)
     q = (F.cos(F.lit(tilt / 2)), F.sin(F.lit(tilt / 2)))

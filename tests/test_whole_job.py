@@ -25,3 +25,11 @@ def test_fill_missing_fills_the_map_of_its_table(spark, tall):
 def test_extract_grid_spans_the_map_of_its_table(spark, tall):
     out = catalogue.queries()["extract_grid"](spark, tall).collect()
     assert sorted({r["y"] for r in out}) == [7, 16, 25, 34] and sorted({r["x"] for r in out}) == [5, 10, 15, 20] and len(out) == 16
+
+
+@pytest.mark.parametrize("name", ["refine_orientation", "refine_projection_center", "refine_orientation_projection_center"])
+def test_refinement_refines_a_pattern_for_each_row_of_the_table(spark, tall, name):
+    out = catalogue.queries()[name](spark, tall).collect()
+    assert sorted(r["idx"] for r in out) == list(range(1010))
+    scores = sorted(r["score"] for r in out)
+    assert scores[len(scores) // 2] > 0.99 and scores[0] > 0.5
