@@ -79,6 +79,13 @@ def dictionary_indexing_from_files(spark, d):
     return _matches(indexing.dictionary_indexing(experimental(spark, d), dictionary(spark, d), 64, "ncc", 5, broadcast_bytes=0))
 
 
+@query()
+def dictionary_indexing_whole_scan(spark, d):
+    """All vectors against all vectors; the queries with SQL index a quarter of them against the others."""
+    df = patterns(spark, d)
+    return _matches(indexing.dictionary_indexing(df, df.select(F.col("idx").alias("sim_idx"), "phase_id", "pixels"), 64, "ncc", 5))
+
+
 @query(f"WITH {P}, {CENTRED}, {_best('un', 5)} {_RANKED}")
 def streaming_dictionary_indexing(spark, d):
     """The experimental patterns come as a stream."""

@@ -1,5 +1,6 @@
 """Queries over tables that are larger than the smallest ones: no row of the table may be left out."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,3 +34,17 @@ def test_refinement_refines_a_pattern_for_each_row_of_the_table(spark, tall, nam
     assert sorted(r["idx"] for r in out) == list(range(1010))
     scores = sorted(r["score"] for r in out)
     assert scores[len(scores) // 2] > 0.99 and scores[0] > 0.5
+
+
+def test_indexing_of_a_whole_scan_finds_the_best_of_all_pairs(spark, tall):
+    out = catalogue.queries()["dictionary_indexing_whole_scan"](spark, tall).collect()
+    p = np.array([r["embedding"] for r in spark.read.parquet(f"{tall}/embeddings.parquet").orderBy("vec_id").collect()], float)
+    p -= p.mean(axis=1, keepdims=True)
+    p /= np.linalg.norm(p, axis=1, keepdims=True)
+    wanted = -np.sort(-(p @ p.T), axis=1)[:, :5]
+    found = np.full((1010, 5), np.nan)
+    for r in out:
+        found[r["idx"], r["rank"] - 1] = r["score"]
+        assert abs(p[r["idx"]] @ p[r["sim_idx"]] - r["score"]) < 1e-5
+    assert len(out) == 5050
+    np.testing.assert_allclose(found, wanted, atol=1e-5)
