@@ -41,11 +41,11 @@ def _remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: no lineage is left, and a lost executor loses no rows."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -67,3 +67,19 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+#: Rows of a key from which on its group is broadcast at least, and how many such groups there can be at most.
+HOT_ROWS, MAX_HOT = 1 << 10, 1 << 16
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
+    """``rows`` joined with ``groups`` on ``key``, of which ``groups`` has each value once, with its number of rows in ``size``.
+
+    Groups of HOT_ROWS or ``n_rows`` / MAX_HOT rows and more are broadcast. There are MAX_HOT of them at most, as their rows
+    are ``n_rows`` together, and the rows of none of them meet in a task. Only the rows of the others shuffle.
+    """
+    least = max(HOT_ROWS, -(-n_rows // MAX_HOT))
+    hot = groups.filter(F.col(size) >= least)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.filter(F.col(size) < least), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)

@@ -1,76 +1,87 @@
 """Exact deduplication in two Bloom passes, with built-in functions only.
 
-Pass 1 counts the cells that the rows' hashes fall into. Each task sends one row per cell that it met, with a
-count, so a group of copies of any size costs each task one row. Cells met twice or more are packed into a Bloom
-filter of bounded size. Pass 2 tests each row against the filter. Only rows that the filter can't rule out shuffle,
-and they are grouped by their full SHA-256; all others pass straight through as groups of one. The filter's size is
-bounded, so with very many repeats more unique rows shuffle, and the result stays exact.
+Pass 1 fills a blocked Bloom filter with counters: a row's hash picks a word of 64 bits and two of the word's 16 fields of
+four bits, and adds one to each. The filter has one to two words for each row. A task adds up its own rows before anything
+travels, and what travels is words of the filter, never a row: a group of copies of any size is one word from each task. A
+word stays if one of its fields counts two or more; in a word that more than 15 rows fell into, or that overflows, every
+field does. Those words are the filter of hashes that may be repeated.
+
+Pass 2 holds each row against that filter, which is broadcast. Rows that it rules out pass straight through as groups of
+one. Only the others shuffle, and they are grouped by their full SHA-256, so that the result is exact whatever the filter
+lets through. A filter of more than MAX_FLAGGED words, counted after pass 1, is cut into slices of hashes: rows are written
+once by slice, without a shuffle, and each slice has its own pass 2.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from scanloom.llm.common import ascii_lower, free_name, materialise
+from scanloom.llm.common import ascii_lower, free_name, join_groups, materialise
 
-#: 64-bit words of the filter at most (8 MiB), bits for each repeated cell, and probes for each row.
-MAX_WORDS = 1 << 20
-BITS_PER_CELL = 16
-PROBES = 3
+#: Words of the filter that are broadcast at most, 16 bytes each.
+MAX_FLAGGED = 1 << 21
+_LOW, _ALL = 0x1111111111111111, -1
 
 
 @dataclass
 class RepeatFilter:
-    """A Bloom filter of the hashes that may occur twice, as one row with an array of 64-bit words."""
+    """Words of the counting filter with a field of two or more: slice, word, flags (bit 4k for field k)."""
 
-    words: DataFrame
+    flagged: DataFrame
     n_words: int
+    n_slices: int
 
-    def may_repeat(self, h: Column) -> Column:
-        """True for each hash that occurs twice or more, and for few others."""
-        words = self.words.scalar()
-        found = F.lit(True)
-        for p in _positions(h, self.n_words):
-            word = F.get(words, F.shiftright(p, 6).cast("int"))
-            found = found & (F.call_function("bit_get", word, (p.bitwiseAND(F.lit(63))).cast("int")) == 1)
-        return found
+    def slice_of(self, h: Column) -> Column:
+        return F.pmod(_word(h, self.n_words), F.lit(self.n_slices)).cast("int")
 
+    def split(self, rows: DataFrame, h: str) -> list[tuple[DataFrame, int]]:
+        """``rows`` in slices. One slice is the rows as they are; several are written by slice."""
+        if self.n_slices == 1:
+            return [(rows, 0)]
+        name = free_name(rows, "slice")
+        written = materialise(rows.withColumn(name, self.slice_of(F.col(h))), "slices", partition_by=name)
+        return [(written.filter(F.col(name) == k).drop(name), k) for k in range(self.n_slices)]
 
-def _positions(h: Column, n_words: int) -> list[Column]:
-    """Bit positions by double hashing; n_words is a power of two."""
-    mask, step = F.lit(n_words * 64 - 1).cast("bigint"), F.xxhash64(h).bitwiseOR(F.lit(1))
-    at, out = h, []
-    for _ in range(PROBES):
-        out.append(at.bitwiseAND(mask))
-        at = at.bitwiseXOR(step) if not out[1:] else F.xxhash64(at, step)
-    return out
+    def marked(self, rows: DataFrame, h: str, k: int, to: str) -> DataFrame:
+        """Adds ``to``: whether the hash may be repeated. ``rows`` are those of slice k, and don't shuffle."""
+        word, flags = free_name(rows, "bloom_word"), free_name(rows, "bloom_flags")
+        own = self.flagged.filter(F.col("slice") == k).select(F.col("word").alias(word), F.col("flags").alias(flags))
+        rows = rows.withColumn(word, _word(F.col(h), self.n_words)).join(F.broadcast(own), word, "left")
+        both = reduce(lambda a, b: a & b, [F.call_function("shiftright", F.col(flags), f.cast("int")).bitwiseAND(F.lit(1)) == 1 for f in _fields(F.col(h))])
+        return rows.withColumn(to, F.coalesce(both, F.lit(False))).drop(word, flags)
+
+
+def _word(h: Column, n_words: int) -> Column:
+    return h.bitwiseAND(F.lit(n_words - 1).cast("bigint"))
+
+
+def _fields(h: Column) -> list[Column]:
+    """Where the two fields of a hash begin in its word; its word comes from lower bits."""
+    first = F.shiftright(h, 56).bitwiseAND(F.lit(15).cast("bigint"))
+    other = (first + 1 + F.pmod(F.shiftright(h, 48), F.lit(15))) % 16
+    return [first * 4, other * 4]
 
 
 def repeat_filter(hashes: DataFrame) -> RepeatFilter:
-    """Pass 1 over a table with one bigint column ``h``."""
-    spark = hashes.sparkSession
-    cells = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    repeated = materialise(cells, "repeated")
-    n, n_words = repeated.count(), 1024
-    while n_words < MAX_WORDS and n_words * 64 < n * BITS_PER_CELL:
+    """Pass 1 over a table with one bigint column ``h``, which is read twice."""
+    n, n_words = hashes.count(), 1024
+    while n_words < n:
         n_words *= 2
-    bits = (
-        repeated.select(F.explode(F.array(*_positions(F.col("h"), n_words))).alias("p"))
-        .select(F.shiftright("p", 6).alias("id"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit"))
-        .groupBy("id")
-        .agg(F.bit_or("bit").alias("word"))
-    )
-    dense = (
-        spark.range(n_words)
-        .join(bits, "id", "left")
-        .agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("word", F.lit(0)).alias("word")))).alias("all"))
-        .select(F.transform("all", lambda x: x["word"]).alias("words"))
-    )
-    return RepeatFilter(materialise(dense, "bloom"), n_words)
+    one = F.lit(1).cast("bigint")
+    add = reduce(lambda a, b: a + b, [F.call_function("shiftleft", one, f.cast("int")) for f in _fields(F.col("h"))])
+    words = hashes.select(_word(F.col("h"), n_words).alias("word"), add.alias("add")).groupBy("word").agg(F.try_sum("add").alias("sum"), F.count(F.lit(1)).alias("n"))
+    twice = F.shiftright("sum", 1).bitwiseOR(F.shiftright("sum", 2)).bitwiseOR(F.shiftright("sum", 3)).bitwiseAND(F.lit(_LOW))
+    flags = F.when((F.col("n") > 15) | F.col("sum").isNull(), F.lit(_ALL).cast("bigint")).otherwise(twice)
+    flagged = materialise(words.select("word", flags.alias("flags")).filter("flags <> 0"), "flagged")
+    n_flagged, n_slices = flagged.count(), 1
+    while n_slices * MAX_FLAGGED < n_flagged:
+        n_slices *= 2
+    slice_ = F.pmod(F.col("word"), F.lit(n_slices)).cast("int")
+    return RepeatFilter(flagged.select(slice_.alias("slice"), "word", "flags"), n_words, n_slices)
 
 
 def text_sha256(text: Column) -> Column:
@@ -78,6 +89,28 @@ def text_sha256(text: Column) -> Column:
     return F.sha2(ascii_lower(F.coalesce(text, F.lit(""))), 256)
 
 
+@dataclass
+class Groups:
+    """row, doc_id, sha, h for each row of the documents, their filter, and the groups of the rows that may be repeated."""
+
+    digests: DataFrame
+    seen: RepeatFilter
+    alone: DataFrame
+    rows: DataFrame
+    groups: DataFrame
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str) -> Groups:
+    digests = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.unhex(text_sha256(F.col(text_col))).alias("sha"))
+    digests = materialise(digests.withColumn("h", F.xxhash64("sha")), "digests")
+    seen = repeat_filter(digests.select("h"))
+    parts = [seen.marked(rows, "h", k, "maybe") for rows, k in seen.split(digests, "h")]
+    alone = reduce(DataFrame.unionByName, [p.filter(~F.col("maybe")) for p in parts])
+    rows = materialise(reduce(DataFrame.unionByName, [p.filter("maybe") for p in parts]).select("row", "doc_id", "sha"), "maybe")
+    groups = rows.groupBy("sha").agg(F.max(F.struct("doc_id", "row")).alias("last"), F.count(F.lit(1)).alias("group_size"))
+    return Groups(digests, seen, alone, rows, materialise(groups, "groups"))
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -85,38 +118,26 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     largest doc_id stays; a null id is smaller than any other. Of rows that repeat that largest id with that same
     text, one stays. An empty table gives an empty result. Other columns of ``docs`` are ignored.
     """
-    return _judge(*_digests(docs, id_col, text_col))
-
-
-def _digests(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, RepeatFilter]:
-    digests = docs.select(F.col(id_col).alias("doc_id"), F.unhex(text_sha256(F.col(text_col))).alias("sha"))
-    digests = materialise(digests, "digests").withColumn("h", F.xxhash64("sha"))
-    return digests, repeat_filter(digests.select("h"))
-
-
-def _judge(digests: DataFrame, seen: RepeatFilter) -> DataFrame:
+    g = _groups(docs, id_col, text_col)
     out = ["doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256")]
-    maybe = seen.may_repeat(F.col("h"))
-    alone = digests.filter(~maybe).select("*", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"))
-    rows = digests.filter(maybe).select("doc_id", "sha")
-    groups = rows.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    nth = F.row_number().over(W.partitionBy("sha", "doc_id").orderBy(F.lit(1)))
-    judged = rows.withColumn("nth", nth).join(groups, "sha").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1))
+    alone = g.alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "sha")
+    judged = join_groups(g.rows, g.groups, "sha", "group_size", g.rows.count())
+    judged = judged.select("doc_id", F.col("last.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("last.row")).alias("kept"), "sha")
     return alone.select(*out).unionByName(judged.select(*out))
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``exact_groups`` drops, with the same columns.
 
-    Texts that can't be repeated don't shuffle. Of rows that repeat both id and text, one stays.
+    Texts that can't be repeated don't shuffle. Of rows that repeat both id and text, one stays. Null texts count as empty,
+    a null id is smaller than any other, and an empty table gives an empty result.
     """
-    digests, seen = _digests(docs, id_col, text_col)
-    sha, h = free_name(docs, "sha"), free_name(docs, "h")
+    g = _groups(docs, id_col, text_col)
+    sha, h, maybe, win_sha, win_id = (free_name(docs, c) for c in ("sha", "h", "maybe", "win_sha", "win_id"))
     full = docs.withColumn(sha, F.unhex(text_sha256(F.col(text_col)))).withColumn(h, F.xxhash64(sha))
-    maybe = seen.may_repeat(F.col(h))
-    rows = digests.filter(seen.may_repeat(F.col("h"))).select("doc_id", "sha")
-    winners = rows.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-    winners = winners.select(F.col("sha").alias("win_sha"), "keep_id")
-    kept = full.filter(maybe).join(winners, (F.col(sha) == F.col("win_sha")) & F.col(id_col).eqNullSafe(F.col("keep_id")), "left_semi")
-    kept = kept.dropDuplicates([sha])
-    return full.filter(~maybe).unionByName(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
+    parts = [g.seen.marked(rows, h, k, maybe) for rows, k in g.seen.split(full, h)]
+    winners = g.groups.select(F.col("sha").alias(win_sha), F.col("last.doc_id").alias(win_id))
+    alone = reduce(DataFrame.unionByName, [p.filter(~F.col(maybe)) for p in parts])
+    some = reduce(DataFrame.unionByName, [p.filter(F.col(maybe)) for p in parts])
+    kept = some.join(winners, (F.col(sha) == F.col(win_sha)) & F.col(id_col).eqNullSafe(F.col(win_id)), "left_semi").dropDuplicates([sha])
+    return alone.unionByName(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
