@@ -23,10 +23,10 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from scanloom.llm.arrays import LOW_BYTES, WORD_BYTES, hash_runs, runs
-from scanloom.llm.common import bounded_batches, materialise, scratch_path
+from scanloom.llm.common import bounded_batches, free_name, materialise, scratch_path
 
 #: Words of a window and of a block, bytes tokenised at once, bytes of benchmark text in a pack, candidates at once.
 WINDOW, BLOCK_WORDS, CHUNK, PACK_BYTES, AT_ONCE = 10, 1 << 20, 1 << 20, 8 << 20, 1 << 20
@@ -85,7 +85,8 @@ def find(block: Block, queries: Queries, slop: int = 0) -> tuple[np.ndarray, np.
     rank = rank[query]
     size = block.starts[rank + 1] - block.starts[rank]
     order = np.argsort(size, axis=1, kind="stable")  # from the rarest term of a window on
-    shift = np.int64(block.bases()[-1] + 1 + 2 * slop + queries.windows.shape[1])
+    bases = block.bases()
+    shift = np.int64(bases[-1] + 1 + 2 * slop + queries.windows.shape[1])
     keys = np.repeat(np.arange(len(block.terms)), np.diff(block.starts)) * shift + block.postings
     doc_at = np.repeat(np.arange(len(block.n_words)), block.n_words + 1)
     rows = np.arange(len(query))
@@ -102,7 +103,8 @@ def find(block: Block, queries: Queries, slop: int = 0) -> tuple[np.ndarray, np.
         start = at - np.repeat(own, n)
         for k in range(1, order.shape[1]):
             j = order[row, k]
-            low = rank[row, j] * shift + np.maximum(start + j - slop, 0)
+            # terms that stray don't stray into the document before
+            low = rank[row, j] * shift + np.maximum(start + j - slop, bases[doc_at[at]] if slop else 0)
             hit = np.searchsorted(keys, low)
             ok = (start + j + slop >= 0) & (hit < len(keys))
             ok &= keys[np.minimum(hit, len(keys) - 1)] <= rank[row, j] * shift + np.maximum(start + j + slop, -1)
@@ -115,30 +117,30 @@ def find(block: Block, queries: Queries, slop: int = 0) -> tuple[np.ndarray, np.
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The index of ``docs``, written to the shared folder: ids, n_words, terms, starts, postings for each block.
+    """The index of ``docs``, written to the shared folder: ids, text_hashes, n_words, terms, starts, postings for each block.
 
     Every row of ``docs`` is in exactly one block. Null texts have no words. A text is never split over blocks.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     ids = ArrayType(rows.schema["doc_id"].dataType)
-    schema = StructType([StructField("ids", ids), StructField("n_words", ArrayType(IntegerType())), StructField("terms", BinaryType()), StructField("starts", BinaryType()), StructField("postings", BinaryType())])
+    schema = StructType([StructField("ids", ids), StructField("text_hashes", ArrayType(LongType())), StructField("n_words", ArrayType(IntegerType())), StructField("terms", BinaryType()), StructField("starts", BinaryType()), StructField("postings", BinaryType())])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[list, np.ndarray, np.ndarray]] = []
+        held: list[tuple[list, np.ndarray, np.ndarray, list]] = []
 
         def flush() -> pa.RecordBatch:
             b = Block.of(np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]))
-            keys = [x for h in held for x in h[0]]
+            keys, texts = [x for h in held for x in h[0]], [x for h in held for x in h[3]]
             held.clear()
-            data = [pa.array([keys], pa.list_(kind)), pa.array([b.n_words.tolist()], pa.list_(pa.int32()))]
+            data = [pa.array([keys], pa.list_(kind)), pa.array([texts], pa.list_(pa.int64())), pa.array([b.n_words.tolist()], pa.list_(pa.int32()))]
             data += [pa.array([x.tobytes()], pa.binary()) for x in (b.terms, b.starts.astype(np.uint32), b.postings.astype(np.uint32))]
             return pa.RecordBatch.from_arrays(data, schema.names)
 
         kind = pa.int64()
         for batch in batches:
             kind, at = batch.column(0).type, 0
-            keys = batch.column(0).to_pylist()
+            keys, text_hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             texts = [t.as_py() or b"" for t in batch.column(1)]
             while at < len(texts):
                 to, size = at, 0
@@ -146,7 +148,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     size += len(texts[to])
                     to += 1
                 hashes, n = terms(texts[at:to])
-                held.append((keys[at:to], hashes, n))
+                held.append((keys[at:to], hashes, n, text_hashes[at:to]))
                 at = to
                 if sum(len(h[1]) for h in held) >= BLOCK_WORDS:
                     yield flush()
@@ -206,7 +208,7 @@ def _load(path: str) -> tuple[np.ndarray, list[Queries]]:
 
 
 def matches(index: DataFrame, packs: list[str], slop: int = 0) -> DataFrame:
-    """One row per document of the index: doc_id, n_words, n_hit, items (sorted as strings), spans of hit words."""
+    """One row per document of the index: doc_id, n_words, n_hit, items (sorted as strings), spans of hit words, text_hash."""
     span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
     kind = index.schema["ids"].dataType.elementType.simpleString()
 
@@ -238,15 +240,15 @@ def matches(index: DataFrame, packs: list[str], slop: int = 0) -> DataFrame:
                 cuts = np.searchsorted(of, np.arange(len(n) + 1))
                 spans = [[{"start": int(first[k] - bases[d]), "stop": int(last[k] - bases[d])} for k in range(cuts[d], cuts[d + 1])] for d in range(len(n))]
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(n.astype(np.int64)), pa.array(total[bases[1:]] - total[bases[:-1]], pa.int64()), pa.array([sorted(i) for i in items], pa.list_(pa.string())), pa.array(spans, pa.list_(span))],
-                    ["doc_id", "n_words", "n_hit", "items", "spans"],
+                    [ids, pa.array(n.astype(np.int64)), pa.array(total[bases[1:]] - total[bases[:-1]], pa.int64()), pa.array([sorted(i) for i in items], pa.list_(pa.string())), pa.array(spans, pa.list_(span)), batch.column("text_hashes")[r].values],
+                    ["doc_id", "n_words", "n_hit", "items", "spans", "text_hash"],
                 )
 
-    return index.mapInArrow(searched, f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,stop:bigint>>")
+    return index.mapInArrow(searched, f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,stop:bigint>>, text_hash bigint")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_hit, items, spans.
+    """One row per row of ``docs``: doc_id, n_words, n_hit, items, spans, text_hash (XXH64 of the text).
 
     A word is hit if it lies in an occurrence of any window of any item. items are the ids of items with windows that
     occur, sorted as strings. Null and empty texts have no words and hit nothing; an empty benchmark hits nothing; an
@@ -255,8 +257,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     return matches(build_index(docs), pack_benchmark(benchmark, window), slop)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without the ids of documents that a benchmark window occurs in; columns as before."""
-    hit = contamination(docs, benchmark, window).filter("n_hit > 0").select(F.col("doc_id").alias("hit_id")).distinct()
-    hit = materialise(hit, "hit")
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text a benchmark window occurs in; columns as before.
+
+    Rows go by id and text, so that of rows with the same id, or none, those stay that have clean texts. Null and empty
+    texts have no words and stay; so does every row if the benchmark is empty. An empty table gives an empty result.
+    """
+    hit_id, hit_hash = free_name(docs, "hit_id"), free_name(docs, "hit_hash")
+    hit = matches(build_index(docs, id_col, text_col), pack_benchmark(benchmark, window)).filter("n_hit > 0")
+    hit = materialise(hit.select(F.col("doc_id").alias(hit_id), F.col("text_hash").alias(hit_hash)).distinct(), "hit")
+    return docs.join(hit, F.col(id_col).eqNullSafe(F.col(hit_id)) & (F.xxhash64(F.col(text_col)) == F.col(hit_hash)), "left_anti")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import LOWER, UPPER, bounded_batches, materialise
+from scanloom.llm.common import LOWER, UPPER, bounded_batches, free_name, join_groups, materialise
 from scanloom.llm.components import components
 
 #: Points at an anchor before it is cut into parts.
@@ -52,16 +52,16 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the fingerprint as a bigint, for each row of ``docs``."""
+    """doc_id, the fingerprint as a bigint, and a 64-bit hash of the text, for each row of ``docs``."""
     bounded_batches(docs.sparkSession)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = np.array([fingerprint(t.as_py() or b"") for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            out = np.array([fingerprint(t.as_py() or b"") for t in b.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(hashed, rows.select("doc_id").schema.add("fp", "long"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(hashed, rows.select("doc_id", "text_hash").schema.add("fp", "long"))
 
 
 def _blocks(t: int) -> list[np.ndarray]:
@@ -176,6 +176,20 @@ def links(points: DataFrame, t: int) -> DataFrame:
     return sorted_.mapInPandas(compared, "a bigint, b bigint").distinct()
 
 
+def _classes(docs: DataFrame, t: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of ``docs``, and for each distinct one: fp, size (its rows), and first, the first row of its
+    component as (whether the id is null, id, hash of the text)."""
+    prints = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
+    points = materialise(prints.groupBy("fp").agg(F.min(row).alias("least"), F.count(F.lit(1)).alias("size")), "points")
+    edges = materialise(links(points, t), "links")
+    labels = materialise(components(edges, "fp", "root"), "roots")
+    linked = materialise(points.join(labels, "fp"), "linked")
+    least = materialise(linked.groupBy("root").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("points")), "components")
+    of = join_groups(linked, least, "root", "points", linked.count()).select("fp", "size", "first")
+    return prints, materialise(of.unionByName(points.join(labels, "fp", "left_anti").select("fp", "size", F.col("least").alias("first"))), "classes")
+
+
 def near_groups(docs: DataFrame, t: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint, component_id (the smallest doc_id reachable over links).
 
@@ -184,23 +198,28 @@ def near_groups(docs: DataFrame, t: int = 4, id_col: str = "doc_id", text_col: s
     0 included. Rows that repeat an id each get a row. A null id never names a component, unless all of it are null. An
     empty table gives an empty result. Other columns of ``docs`` are ignored.
     """
-    prints = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    points = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
-    edges = materialise(links(points, t), "links")
-    labels = components(edges, "fp", "root")
-    joined = points.join(labels, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = materialise(joined.join(least, "root").select(F.col("fp").alias("point"), "component_id"), "classes")
-    rows = prints.join(of, F.col("fp") == F.col("point"))
-    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints, classes = _classes(docs, t, id_col, text_col)
+    rows = join_groups(prints, classes, "fp", "size", prints.count())
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, t: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, that with the smallest id; columns as before.
+    """``docs`` with one row of each component, that with the smallest id; columns as before.
 
-    Of rows that repeat that id, one stays.
+    Rows go and stay by id and text: of rows with the smallest id and different texts, the one with the least hash of the
+    text stays, and of rows that repeat both, one. A null id comes after all others. Null texts count as empty. An empty
+    table gives an empty result.
     """
-    out = near_groups(docs, t, id_col, text_col).filter("doc_id <> component_id or doc_id is null and component_id is not null")
-    gone = materialise(out.select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    kept = docs.join(gone, F.col(id_col).eqNullSafe(F.col("gone_id")), "left_anti")
-    return kept
+    prints, classes = _classes(docs, t, id_col, text_col)
+    rows = join_groups(prints, classes, "fp", "size", prints.count())
+    here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    judged = materialise(rows.select("doc_id", "text_hash", here.alias("stays")), "judged")
+    gone_id, gone_hash, own = (free_name(docs, c) for c in ("gone_id", "gone_hash", "own_hash"))
+    names = [F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)]
+    full = docs.withColumn(own, F.xxhash64(F.col(text_col)))
+    same = F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_hash))
+    kept = full.join(judged.filter("not stays").select(*names).distinct(), same, "left_anti")
+    again = materialise(judged.filter("stays").groupBy("doc_id", "text_hash").count().filter("count > 1").select(*names), "again")
+    if not again.isEmpty():
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col, own]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
