@@ -106,7 +106,7 @@ FROM p JOIN f USING (h)
 
 _OP3 = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    (CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u FROM documents),
+    (CAST(CAST('0x' || substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', md5(coalesce(text, '')))), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u FROM documents),
 s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS words FROM d GROUP BY source),
 w AS (SELECT *, CAST([3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS DOUBLE) AS weight FROM s),
 c AS (SELECT *, words * 2.0 AS ceiling, row_number() OVER (ORDER BY words * 2.0 / weight, source NULLS LAST) AS k FROM w),
@@ -115,9 +115,15 @@ l AS (SELECT *, coalesce(sum(ceiling) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PR
 v AS (SELECT *, (all_ - full_) / open_ AS level FROM l),
 x AS (SELECT arg_min(level, k) AS level FROM v WHERE level <= ceiling / weight),
 t AS (SELECT v.source, words, least(ceiling, coalesce((SELECT level FROM x) * weight, ceiling)) AS target FROM v),
-r AS (SELECT d.*, words, target, CASE WHEN words > 0 THEN target / words ELSE 0.0 END AS times FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-q AS (SELECT *, CASE WHEN times - floor(times) > 0 THEN (u / (1.0 - u)) / ((times - floor(times)) / (1.0 - (times - floor(times)))) END AS q FROM r),
-o AS (SELECT *, target - floor(times) * words AS rest, CAST(sum(size) OVER (PARTITION BY source ORDER BY q, doc_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS upto FROM q WHERE q IS NOT NULL),
+n AS (SELECT source, size, CAST(floor(sqrt(CAST(size AS DOUBLE)) * 16.0) AS BIGINT) AS wt, count(*) AS n FROM d GROUP BY source, size),
+h AS (SELECT n.*, target, CAST(coalesce(sum(size * n) OVER (PARTITION BY n.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) * 2.0 AS taken_,
+    CAST(sum(size * n * wt) OVER (PARTITION BY n.source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS left_ FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source),
+lv AS (SELECT source, arg_max(lev, size) AS lev FROM (SELECT *, (target - taken_) / left_ AS lev FROM h WHERE left_ > 0) WHERE lev * wt <= 2.0 GROUP BY source),
+r AS (SELECT d.*, words, target, CASE WHEN size > 0 THEN least(2.0, coalesce(lev * CAST(floor(sqrt(CAST(size AS DOUBLE)) * 16.0) AS BIGINT), 2.0)) ELSE 0.0 END AS times
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN lv ON d.source IS NOT DISTINCT FROM lv.source),
+q AS (SELECT *, CASE WHEN times - floor(times) > 0 THEN (u / (1.0 - u)) / ((times - floor(times)) / (1.0 - (times - floor(times)))) END AS q,
+    target - sum(floor(times) * size) OVER (PARTITION BY source) AS rest FROM r),
+o AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY q, doc_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS upto FROM q WHERE q IS NOT NULL),
 e AS (SELECT doc_id, 1 AS extra FROM o WHERE upto <= rest OR (upto - size < rest AND upto - rest < rest - (upto - size)))
 SELECT q.doc_id, size, CAST(words AS BIGINT) AS source_size, target, CAST((floor(times) + coalesce(extra, 0)) * size AS BIGINT) AS taken
 FROM q LEFT JOIN e USING (doc_id)
