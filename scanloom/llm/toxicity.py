@@ -1,18 +1,17 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made from labelled samples. The ordinary one holds the word starts that most ordinary
-documents have. The toxic one holds, before the same, the word starts that toxic documents have significantly more often:
-what sets toxic text apart is in it once, and the rest of the two is equal, so it cancels. A text is cut into windows of
-about WINDOW bytes at white space, and each window is compressed with either dictionary. The differences of the lengths,
-summed up by their top quantiles, their mean and the share above a threshold, go through a logistic curve that was
-calibrated on labelled documents which neither dictionary has seen.
+Two zstandard dictionaries are trained on labelled samples. The ordinary one is trained on windows of ordinary texts. The
+toxic one is trained on those stretches of toxic texts whose GRAM-grams of bytes significantly more toxic than ordinary
+documents have, and it is laid before the ordinary content: toxic texts consist of ordinary words for the most part, and
+what is in both dictionaries at the same place cancels. (Two dictionaries trained on whole texts of either class differ
+in so many ordinary syllables that the few toxic words drown: see the README.) A text is cut into windows of about WINDOW
+bytes at white space, and each window is compressed with either dictionary. The bytes saved by the toxic one, summed up
+by the best windows and by how many pass each of several thresholds, go through a logistic curve. It is calibrated on
+labelled documents that the dictionaries of their fold haven't seen.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,13 +25,17 @@ from scanloom.llm.common import LOWER, UPPER, bounded_batches
 from scanloom.llm.training import ROWS_PER_CLASS, held_out, labelled_sample, logistic, sigmoid
 
 WINDOW = 64
-#: Word starts in each dictionary at most, their lengths with the space before them, and the z-score a toxic one needs.
-ORDINARY, TOXIC, STARTS, Z = 600, 200, range(5, 14), 4.0
-#: Bytes saved by the toxic dictionary from which on a window counts as toxic.
-SAVED = 4
-N_FEATURES = 6
+#: Bytes of the dictionaries, and segment and match lengths of their training.
+ORDINARY, TOXIC, SEGMENT, MATCH = 8192, 1024, 16, 6
+#: Bytes of a gram, toxic documents that it needs, and its z-score; bits of its hash.
+GRAM, LEAST, Z, BITS = 7, 5, 4.0, 22
+#: Windows of ordinary text that the dictionary is trained on at most, evenly over the sample's texts.
+TRAINING_WINDOWS = 200_000
+#: Bytes saved from which on a window counts, one feature for each.
+SAVED = (2, 3, 4, 5, 6)
+N_FEATURES = 6 + len(SAVED)
 _UP = bytes.maketrans(UPPER.encode(), LOWER.encode())
-_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
@@ -43,41 +46,51 @@ class ToxicityModel:
     bias: float
 
 
-def word_starts(text: bytes) -> set[bytes]:
-    """The starts of a text's words, each with a space before it; a whole word also with one behind it."""
-    out = set()
-    for word in set(_WORD.findall(text.translate(_UP))):
-        word = b" " + word
-        out.update(word[:k] for k in STARTS if k <= len(word))
-        if len(word) >= STARTS.start:
-            out.add(word[: STARTS.stop - 1] + b" ")
-    return out
+def folded(text: bytes) -> bytes:
+    """A text lower-cased in A-Z, its lines joined, with a space at either end."""
+    return b" " + text.translate(_UP).replace(b"\n", b" ") + b" "
+
+
+def gram_hashes(text: bytes) -> np.ndarray:
+    """A hash of each GRAM-gram of a text."""
+    raw = np.frombuffer(text, np.uint8).astype(np.uint64)
+    n = len(raw) - GRAM + 1
+    h = np.zeros(max(0, n), np.uint64)
+    for k in range(GRAM if n > 0 else 0):
+        h = h * np.uint64(257) + raw[k : k + n]
+    return (h * _MIX >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def significant(counts: list[np.ndarray], n: list[int]) -> np.ndarray:
+    """True for grams that significantly more toxic documents have, from how many documents of each class have each gram."""
+    rates = [np.log((c + 0.5) / (k + 0.5 - np.minimum(c, k))) for c, k in zip(counts, n, strict=True)]
+    z = (rates[1] - rates[0]) / np.sqrt(1 / (counts[0] + 0.5) + 1 / (counts[1] + 0.5))
+    return (z >= Z) & (counts[1] >= LEAST)
 
 
-def dictionaries(ordinary: list[bytes], toxic: list[bytes]) -> tuple[bytes, bytes]:
-    """Contents of the two dictionaries from texts of either class; the best starts stand last, nearest to the window."""
-    seen = [Counter(s for text in texts for s in word_starts(text)) for texts in (ordinary, toxic)]
-    n = [len(ordinary), len(toxic)]
+def stretches(text: bytes, wanted: np.ndarray) -> list[bytes]:
+    """The distinct runs of a text's bytes that lie in wanted grams, in order."""
+    at = np.flatnonzero(wanted[gram_hashes(text)])
+    depth = np.zeros(len(text) + 1, np.int32)
+    np.add.at(depth, at, 1)
+    np.add.at(depth, at + GRAM, -1)
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(depth[:-1]) > 0, [False]]).astype(np.int8)))
+    return list(dict.fromkeys(text[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True)))
 
-    def z(start: bytes) -> float:
-        a, b = seen[1][start] + 0.5, seen[0][start] + 0.5
-        odds = math.log(a / (n[1] + 1 - a)) - math.log(b / (n[0] + 1 - b))
-        return odds / math.sqrt(1 / a + 1 / b)
 
-    chosen: list[bytes] = []
-    for score, start in sorted(((z(s), s) for s, k in seen[1].items() if k >= 5), reverse=True)[: 20 * TOXIC]:
-        if score < Z or len(chosen) == TOXIC:
-            break
-        if not any(c.startswith(start) and seen[1][c] >= 0.8 * seen[1][start] for c in chosen):
-            chosen.append(start)
-    common = sorted(((k, s) for s, k in seen[0].items() if len(s) > STARTS.start), reverse=True)[:ORDINARY]
-    base = b"".join(s for _, s in reversed(common)) or b" " * 8
-    return base, b"".join(reversed(chosen)) + base
+def trained(samples: list[bytes], size: int) -> bytes:
+    """The content of a dictionary trained on ``samples``, without the entropy tables, which would differ for the two
+    dictionaries. Too few samples to train on are the content themselves."""
+    try:
+        found = zstandard.train_dictionary(size, samples, k=SEGMENT, d=MATCH).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+    return found[len(found) - min(len(found) * 7 // 8, len(found) - 256) :] if len(found) > 600 else found
 
 
 def windows(text: bytes) -> list[bytes]:
     """A text, lower-cased in A-Z, in pieces of at most WINDOW bytes, cut before white space where there is some."""
-    text, out, at = b" " + text.translate(_UP).replace(b"\n", b" "), [], 0
+    text, out, at = folded(text)[:-1], [], 0
     while at < len(text):
         to = at + WINDOW
         if to < len(text):
@@ -98,36 +111,65 @@ def compressor(content: bytes):
 
 
 def features(text: bytes, ordinary, toxic) -> list[float]:
-    saved = np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(text)])
-    saved = np.sort(saved)[::-1]
-    n = len(saved)
-    top = [saved[0], saved[:3].mean(), saved[: max(1, n // 10)].mean(), saved[: max(1, n // 4)].mean()]
-    return [*map(float, top), float(saved.mean()), float((saved >= SAVED).mean())]
+    saved = np.minimum([len(ordinary(w)) - len(toxic(w)) for w in windows(text)], 10)
+    best = np.zeros(3)
+    best[: min(3, len(saved))] = np.sort(saved)[::-1][:3]
+    passed = [np.log1p((saved >= k).sum()) for k in SAVED]
+    return [*map(float, best), *map(float, passed), float(np.log(len(saved))), float(saved.mean()), float((saved >= 4).mean())]
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = ROWS_PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    """Fit on at most ``per_class`` labelled rows of each class: half of them make the dictionaries, half calibrate."""
+    """Fit on at most ``per_class`` labelled rows of each class. Each half of them calibrates dictionaries of the other; the
+    model's own dictionaries are trained on all.
+
+    What is counted and cut out of texts is so by executors. The driver gets counts, the stretches, and at most
+    TRAINING_WINDOWS windows.
+    """
     sample, counts = labelled_sample(docs, labels, label, id_col, text_col, per_class)
     bounded_batches(docs.sparkSession)
+    n_texts = max(1, sum(min(c, per_class) for c in counts))
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each text its distinct grams, and some of its windows if it is ordinary."""
+        for b in batches:
+            for part, y, text in zip(*(b.column(c).to_pylist() for c in ("part", "label", "text")), strict=True):
+                raw = (text or "").encode()
+                some = windows(raw) if y == 0 else []
+                share = max(1, TRAINING_WINDOWS // n_texts)
+                some = [some[k] for k in np.unique(np.linspace(0, len(some) - 1, min(share, len(some))).astype(int))] if some else []
+                grams = np.unique(gram_hashes(folded(raw))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([y], pa.int32()), pa.array([grams.tobytes()], pa.binary()), pa.array([some], pa.list_(pa.binary()))], ["part", "label", "grams", "windows"])
+
+    seen, n, plain = np.zeros((2, 2, 1 << BITS), np.float32), np.zeros((2, 2), int), [[], []]
+    for r in sample.mapInArrow(met, "part int, label int, grams binary, windows array<binary>").toLocalIterator():
+        seen[r["part"], r["label"]][np.frombuffer(r["grams"], np.int32)] += 1
+        n[r["part"], r["label"]] += 1
+        plain[r["part"]] += map(bytes, r["windows"])
+    # dictionaries of either half and of both; the order of samples must not depend on that of rows
+    wanted = [significant(list(seen[list(p)].sum(0)), [int(k) for k in n[list(p)].sum(0)]) for p in ((0,), (1,), (0, 1))]
+    ordinary = [trained(sorted(w for k in p for w in plain[k]), ORDINARY) for p in ((0,), (1,), (0, 1))]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [b" ".join(sorted(set(_WORD.findall((t or "").encode().translate(_UP))))) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(found, pa.binary())], ["label", "words"])
+            for part, text in zip(*(b.column(c).to_pylist() for c in ("part", "text")), strict=True):
+                found = [stretches(folded((text or "").encode()), wanted[k]) for k in (part, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([f], pa.list_(pa.binary())) for f in found)], ["part", "own", "both"])
 
-    rows = sample.filter("part = 0").mapInArrow(words, "label int, words binary").collect()
-    texts = [[bytes(r["words"]) for r in rows if r["label"] == c] for c in (0, 1)]
-    ordinary, toxic = dictionaries(*texts)
+    pieces: list[list[bytes]] = [[], [], []]
+    for r in sample.filter("label = 1").mapInArrow(cut, "part int, own array<binary>, both array<binary>").toLocalIterator():
+        pieces[r["part"]] += map(bytes, r["own"])
+        pieces[2] += map(bytes, r["both"])
+    toxic = [trained(sorted(p), TOXIC) + base for p, base in zip(pieces, ordinary, strict=True)]
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = compressor(ordinary), compressor(toxic)
-        for batch in batches:
-            x = [features((t or "").encode(), a, b) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
+        pairs = [(compressor(o), compressor(t)) for o, t in zip(ordinary[:2], toxic[:2], strict=True)]
+        for b in batches:
+            x = [features((t or "").encode(), *pairs[1 - p]) for p, t in zip(b.column("part").to_pylist(), b.column("text").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
 
-    rows = sample.filter("part = 1").mapInArrow(measured, "label int, x array<double>").collect()
-    x, y = np.array([r["x"] for r in rows], np.float64).reshape(len(rows), N_FEATURES), np.array([r["label"] for r in rows])
-    return ToxicityModel(ordinary, toxic, *logistic(x, y, counts))
+    rows = sorted((r["x"], r["label"]) for r in sample.mapInArrow(measured, "label int, x array<double>").collect())
+    x, y = np.array([r[0] for r in rows], np.float64).reshape(len(rows), N_FEATURES), np.array([r[1] for r in rows])
+    return ToxicityModel(ordinary[2], toxic[2], *logistic(x, y, counts))
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
