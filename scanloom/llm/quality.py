@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm.arrays import LOW_BYTES, SPACE_BYTES, hash_runs, mix, runs
-from scanloom.llm.common import bounded_batches, free_name
+from scanloom.llm.common import bounded_batches
 from scanloom.llm.training import ROWS_PER_CLASS, held_out, labelled_sample, logistic, sigmoid
 
 #: Bits of a hashed feature, sampled documents that a feature needs, bytes worked on at once.
@@ -175,13 +175,16 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = 0.3, id_col:
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text scores ``threshold`` or more, as they are. Documents don't shuffle."""
+    """The rows of ``docs`` whose text scores ``threshold`` or more, as they are.
+
+    Documents don't shuffle, and only their texts go to Python, once; what comes back is a boolean each. Null, empty and
+    blank texts have the score of the bias alone. Repeated rows go or stay together. An empty table gives an empty result.
+    """
     bounded_batches(docs.sparkSession)
-    name = free_name(docs, "text_bytes")
 
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = sigmoid(model.slope * model.margins([t.as_py() or b"" for t in b.column(b.num_columns - 1)]) + model.offset)
-            yield pa.RecordBatch.from_arrays(b.columns[:-1], schema=pa.schema(list(b.schema)[:-1])).filter(pa.array(p >= threshold))
+    @F.arrow_udf("boolean")
+    def good(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            yield pa.array(sigmoid(model.slope * model.margins([t.as_py() or b"" for t in batch]) + model.offset) >= threshold)
 
-    return docs.withColumn(name, F.col(text_col).cast("binary")).mapInArrow(kept, docs.schema)
+    return docs.filter(good(F.col(f"`{text_col}`").cast("binary")))

@@ -1,6 +1,7 @@
 """The text operators against brute force on small tables with nulls, empty texts, ties, repeated rows and clashing columns."""
 
 import base64
+import collections
 import hashlib
 import random
 import re
@@ -90,6 +91,19 @@ def test_proximity(spark):
     assert hit(0) == set() and hit(1) == {0} and hit(3) == {0, 1} and hit(6) == {0, 1, 2}
 
 
+def test_terms_that_stray_stay_in_their_document(spark):
+    docs = spark.createDataFrame([(1, "q q q x"), (2, "a z x q"), (3, "x"), (4, "a")], "doc_id bigint, text string").coalesce(1)
+    item = spark.createDataFrame([(0, "a x")], "item_id bigint, text string")
+    for slop in (1, 2, 3, 4, 9):
+        assert [r["doc_id"] for r in decontaminate.contamination(docs, item, slop=slop).filter("n_hit > 0").collect()] == [2]
+
+
+def test_contaminated_rows_go_by_text(spark):
+    df = spark.createDataFrame([(None, "bad words here"), (None, "fine"), (1, "bad words here"), (1, "fine too"), (1, "bad words here"), (2, None), (3, "")], "doc_id bigint, text string")
+    item = spark.createDataFrame([(0, "bad words here")], "item_id bigint, text string")
+    assert sorted(map(str, decontaminate.drop_contaminated(df, item).collect())) == sorted(map(str, df.filter("text is null or text not like 'bad%'").collect()))
+
+
 # WARC
 
 PAGES = [(0, "http://a.b/c d", "<p>one</p>"), (1, None, None), (2, "http://x", ""), (3, "u", "<p>one</p>"), (4, "u", "x" * 70_000), (5, "u", "<p>one</p>"), (6, "u", "é\r\n\r\nWARC/1.1\r\n"), (None, "u", "<p>one</p>")]
@@ -146,6 +160,37 @@ def test_mixing(spark, docs):
     assert mixing.mixed_documents(docs).columns == [*docs.columns, "_copies"]
 
 
+def test_a_source_of_repeated_rows_meets_its_target(spark):
+    rows = [(1, "one two three four", "a")] * 200 + [(2, "a b c", "a")] * 50 + [(k, "w " * (k % 40), "b") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(7)
+    by = {"weights": (1, 9), "share": 1.3}
+    out = mixing.mix_sources(df, **by).collect()
+    for size in {r["source_size"] for r in out}:
+        assert sum(r["taken"] for r in out if r["source_size"] == size) == pytest.approx({r["target"] for r in out if r["source_size"] == size}.pop(), abs=20)
+    assert {r["copies"] for r in out if r["doc_id"] == 1 and r["size"] == 4} == {0, 1}
+    mixed = mixing.mixed_documents(df, **by).groupBy("source").agg(F.sum(F.col("copies") * mixing.n_words(F.col("text"))).alias("n")).collect()
+    assert sorted(r["n"] for r in mixed) == sorted(sum(r["taken"] for r in out if r["source_size"] == size) for size in {r["source_size"] for r in out})
+
+
+def test_documents_are_included_as_often_as_their_weights_ask_for(spark):
+    rows = [(k, "w " * (1 + k % 30), "ab"[k % 2]) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = [mixing.mix_sources(df, weights=(1, 3), share=0.6, seed=str(s)) for s in range(12)]
+    copies = collections.Counter()
+    for frame in out:
+        for r in frame.collect():
+            copies[r["doc_id"] % 2, r["size"]] += r["copies"]
+    for source in (0, 1):
+        sizes = [n for c, n in copies if c == source]
+        got = np.array([copies[source, n] for n in sizes]) / 12 / 20
+        weight = np.floor(16 * np.sqrt(sizes))
+        target = {r["target"] for r in out[0].collect() if r["doc_id"] % 2 == source}.pop()
+        level = target / (20 * (weight * sizes).sum())
+        wanted = np.minimum(2, level * weight)
+        if wanted.max() < 2:
+            assert np.abs(got - wanted).max() < 0.25 and abs((got - wanted).mean()) < 0.03
+
+
 def test_targets_stop_at_twice_a_source(spark, empty):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 0), (None, 500)], "source string, source_size bigint")
     got = {r["source"]: r["target"] for r in mixing.source_targets(sizes, (3, 1, 2), 1.5, 2.0).collect()}
@@ -174,11 +219,33 @@ def test_exact_groups(docs, texts, empty):
     assert exact_dedup.exact_groups(empty).count() == 0 and exact_dedup.drop_exact_copies(empty).count() == 0
 
 
-def test_a_full_filter_changes_nothing(docs, monkeypatch):
-    wanted = sorted(map(str, exact_dedup.exact_groups(docs).collect()))
-    monkeypatch.setattr(exact_dedup, "MAX_WORDS", 1024)
-    monkeypatch.setattr(exact_dedup, "BITS_PER_CELL", 1 << 30)
+def test_slices_of_the_filter_change_nothing(docs, monkeypatch):
+    wanted, left = sorted(map(str, exact_dedup.exact_groups(docs).collect())), sorted(map(str, exact_dedup.drop_exact_copies(docs).collect()))
+    monkeypatch.setattr(exact_dedup, "MAX_FLAGGED", 8)
+    assert exact_dedup._groups(docs, "doc_id", "text").seen.n_slices > 1
     assert sorted(map(str, exact_dedup.exact_groups(docs).collect())) == wanted
+    assert sorted(map(str, exact_dedup.drop_exact_copies(docs).collect())) == left
+
+
+def test_the_filter_keeps_repeats_and_rules_out_most_others(spark):
+    hashes = spark.range(20_000).select(F.xxhash64(F.when(F.col("id") < 19_000, F.col("id")).otherwise(F.col("id") % 7)).alias("h"))
+    seen = exact_dedup.repeat_filter(hashes)
+    marked = [(r["h"], r["m"]) for rows, k in seen.split(hashes, "h") for r in seen.marked(rows, "h", k, "m").collect()]
+    assert len(marked) == 20_000
+    times = collections.Counter(h for h, _ in marked)
+    assert all(m for h, m in marked if times[h] > 1) and sum(m for h, m in marked if times[h] == 1) < 0.1 * 19_000
+
+
+CLASHES = ["keep_id", "win_sha", "win_id", "gone_id", "gone_hash", "own_hash", "hit_id", "hit_hash", "maybe", "h", "bloom_word", "row", "doc", "size", "u", "plan_source", "copies", "text_bytes", "key"]
+
+
+def test_columns_with_clashing_names(spark):
+    rows = [(1, "a b c", "s"), (2, "a b c", "s"), (None, "x y", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHES)])
+    item = spark.createDataFrame([(0, "x y")], "item_id bigint, text string")
+    for kept, n in ((exact_dedup.drop_exact_copies(df), 2), (simhash.drop_near_copies(df), 2), (decontaminate.drop_contaminated(df, item), 2), (quality.keep_good(df, quality.train(df, spark.createDataFrame([], "doc_id bigint, quality int")), 0.0), 3)):
+        assert kept.columns == df.columns and kept.count() == n
+    assert mixing.mixed_documents(df).columns == [*df.columns, "_copies"]
 
 
 # SimHash
@@ -222,6 +289,12 @@ def test_near_groups(docs, empty, monkeypatch, crowded):
     assert simhash.near_groups(empty).count() == 0
 
 
+def test_near_copies_go_by_row(spark):
+    a, b = "one two three four five six", "other words that are in no way like these"
+    df = spark.createDataFrame([(1, a), (1, a), (5, b), (5, a), (None, b), (None, "and a third text of its own kind"), (7, None), (8, "")], "doc_id bigint, text string")
+    assert sorted(map(str, simhash.drop_near_copies(df).collect())) == sorted(map(str, spark.createDataFrame([(1, a), (5, b), (None, "and a third text of its own kind"), (7, None)], df.schema).collect()))
+
+
 @pytest.mark.parametrize("t", [0, 2, 4])
 def test_all_pairs_within_the_distance_meet(t):
     rng = np.random.default_rng(t)
