@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm.common import LOWER, UPPER, bounded_batches
-from scanloom.llm.training import ROWS_PER_CLASS, held_out, labelled_sample, logistic, sigmoid
+from scanloom.llm.training import held_out, labelled_sample, logistic, sigmoid
 
 WINDOW = 64
+#: Labelled rows of a class that the dictionaries and the curve are fitted on at most.
+ROWS_PER_CLASS = 4000
 #: Bytes of the dictionaries, and segment and match lengths of their training.
-ORDINARY, TOXIC, SEGMENT, MATCH = 8192, 1024, 16, 6
+ORDINARY, TOXIC, SEGMENT, MATCH = 8192, 1024, 24, 6
 #: Bytes of a gram, toxic documents that it needs, and its z-score; bits of its hash.
 GRAM, LEAST, Z, BITS = 7, 5, 4.0, 22
 #: Windows of ordinary text that the dictionary is trained on at most, evenly over the sample's texts.
@@ -81,6 +83,7 @@ def stretches(text: bytes, wanted: np.ndarray) -> list[bytes]:
 def trained(samples: list[bytes], size: int) -> bytes:
     """The content of a dictionary trained on ``samples``, without the entropy tables, which would differ for the two
     dictionaries. Too few samples to train on are the content themselves."""
+    samples = [samples[k] for k in np.random.default_rng(5).permutation(len(samples))]  # each part of them alike
     try:
         found = zstandard.train_dictionary(size, samples, k=SEGMENT, d=MATCH).as_bytes()
     except zstandard.ZstdError:
