@@ -3,7 +3,8 @@
 A page becomes a tree; menus, headers, footers, sidebars, notices, adverts, forms, comments and what isn't text are taken
 out of it by tag, role and class. Each paragraph that is left passes points, for its length and its commas, to its parent
 in full and to the ancestors above in part. A container's points are discounted by its link density. The best container
-is kept, with those of its siblings that score well or read like text.
+is kept. From it the way goes up to the body, and at each level siblings are kept: those that score well, and inside the
+article that the best container is in, or beside the best container itself, all that isn't mostly links.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ SELF_CLOSING = {
     **{t: ({"tr", "td", "th", "tbody", "thead", "tfoot"}, {"table"}) for t in ("tbody", "thead", "tfoot")},
     "option": ({"option"}, {"select", "datalist"}),
 }
-DROPPED = frozenset("nav footer aside form button select textarea input script style noscript template iframe object embed svg canvas dialog menu head title audio video map search datalist label fieldset math".split())
+DROPPED = frozenset("nav footer aside form button select textarea input script style noscript template iframe object embed svg canvas dialog menu head title audio video map search datalist label fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist status log".split())
 #: Words of a class or an id that mark what isn't the article.
 MARKS = frozenset(
@@ -48,7 +49,12 @@ MARKS = frozenset(
 ARTICLE = frozenset(["article", "main"])
 PARAGRAPHS = frozenset("p pre blockquote li dd td section div article main figcaption body".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-LEAST = 25
+#: Elements of running text: of those, only a class that is a mark as a whole takes one out.
+PROSE = frozenset("p pre blockquote li dl dt dd td th tr table figure figcaption span b strong i em u a q cite code sub sup small mark abbr math time".split())
+#: Elements whose parts belong together, whatever they score.
+WHOLE = frozenset("table ul ol dl".split())
+#: Characters of a paragraph that counts; text, that makes a form a wrapper of the page if it is also half of the page's.
+LEAST, WRAPPER = 25, 250
 
 
 class Node:
@@ -146,13 +152,27 @@ def _is_dropped(node: Node, within: bool) -> bool:
         words = [w.lower() for w in _PART.findall(name)]
         if words and words[0] in ("has", "no", "with", "without"):
             continue
-        marked = MARKS.intersection(words)
+        marked = MARKS.intersection([name.lower()] if node.tag in PROSE else words)
         if marked and not (within and marked <= {"header"}) and (node.tag != "article" or marked & {"comment", "comments", "ad", "ads", "promo", "related", "sponsored", "reply"}):
             return True
     return False
 
 
+def _wrappers(root: Node) -> set[int]:
+    """Forms that are wrapped around most of a page's text, as some frameworks make them."""
+    nodes = _order(root)
+    if not any(n.tag in ("form", "fieldset") for n in nodes):
+        return set()
+    sizes: dict[int, int] = {}
+    for n in reversed(nodes):
+        own = sum(len(c.strip()) if isinstance(c, str) else sizes[id(c)] for c in n.children)
+        sizes[id(n)] = 0 if n.tag in DROPPED and n.tag not in ("form", "fieldset") else own
+    least = max(WRAPPER, sizes[id(root)] / 2)
+    return {id(n) for n in nodes if n.tag in ("form", "fieldset") and sizes[id(n)] >= least}
+
+
 def prune(root: Node) -> None:
+    wrappers = _wrappers(root)
     todo = [(root, False)]
     while todo:
         node, within = todo.pop()
@@ -161,7 +181,7 @@ def prune(root: Node) -> None:
         for c in node.children:
             if isinstance(c, str):
                 kept.append(c)
-            elif not _is_dropped(c, within):
+            elif id(c) in wrappers or not _is_dropped(c, within):
                 kept.append(c)
                 todo.append((c, within))
         node.children = kept
@@ -210,7 +230,8 @@ def score(root: Node) -> Node | None:
     return max(found, key=lambda n: n.points * (1 - n.links / max(1, n.text)))
 
 
-def kept_nodes(root: Node) -> list[Node]:
+def kept_nodes(root: Node) -> list[Node | str]:
+    """What is kept, in page order. A page without a paragraph that counts is kept whole, or its largest article or main."""
     best = score(root)
     if best is None:
         for tag in ("article", "main", "body"):
@@ -218,29 +239,37 @@ def kept_nodes(root: Node) -> list[Node]:
             if named:
                 return [max(named, key=lambda n: n.text)]
         return [root]
-    up = best
-    while up is not None and up.tag != "article":
-        up = up.parent
-    if up is None:
-        up = best
-        while up is not None and up.tag != "main":
-            up = up.parent
-    if up is not None:
-        return [up]
-    discounted = lambda n: n.points * (1 - n.links / max(1, n.text))
-    least = max(10.0, discounted(best) * 0.2)
-    out = []
-    for c in best.parent.children if best.parent is not None else [best]:
-        if isinstance(c, str):
-            continue
-        density = c.links / max(1, c.text)
-        reads = (c.tag in ("p", "pre", "blockquote", "ul", "ol") and c.text > 0 and density < 0.25) or (c.tag in HEADINGS and density < 0.5)
-        if c is best or discounted(c) >= least or reads:
-            out.append(c)
-    return out
+    worth = lambda n: n.points * (1 - n.links / max(1, n.text))
+    least = max(10.0, worth(best) * 0.2)
 
+    def fits(c: Node | str, article: bool, beside: bool) -> bool:
+        if isinstance(c, str) or c.tag not in BLOCK:
+            return article or beside
+        if worth(c) >= least:
+            return True
+        density = c.links / max(1, c.text)
+        if article:
+            return density < 0.5 or c.tag in ("p", "pre", "blockquote")
+        return beside and density < (0.5 if c.tag in HEADINGS else 0.25)
 
-def blocks(nodes: list[Node]) -> list[str]:
+    above, up = set(), best
+    while up is not None:
+        above.add(id(up))
+        up = up.parent
+    article = next((n for n in _order(root) if id(n) in above and n.tag in ARTICLE), None)
+    kept: list[Node | str] = [best]
+    node, inside, beside = best, article is not None and best is not article, True
+    while node.parent is not None and node.tag != "body":
+        parent = node.parent
+        at = next(k for k, c in enumerate(parent.children) if c is node)
+        fit = [fits(c, inside, beside or parent.tag in WHOLE or node.tag in ("tr", "tbody", "thead", "tfoot")) for c in parent.children]
+        kept = [c for c, f in zip(parent.children[:at], fit, strict=False) if f] + kept + [c for c, f in zip(parent.children[at + 1 :], fit[at + 1 :], strict=True) if f]
+        node, beside = parent, False
+        inside = inside and node is not article
+    return kept
+
+
+def blocks(nodes: list[Node | str]) -> list[str]:
     """Text of each block, in page order: references decoded, white space as one space, empty ones left out."""
     out: list[str] = []
     now: list[str] = []

@@ -391,6 +391,13 @@ ARTICLE = "It was a bright, cold day in the north, and the clocks, all of them,
         (None, ""), ("", ""), ("<p>a &amp; b<br>c &#233;", "a & b c é"),
         (f"<html><head><title>T</title></head><body><nav><a href=1>Home</a></nav><article><h1>Head</h1><p>{ARTICLE}</p><p>Second, one.</p></article><footer>(c)</footer></body></html>", f"Head\n{ARTICLE.strip()}\nSecond, one."),
         (f"<div class=sidebar><p>{ARTICLE}</p></div><div id=x><p>{ARTICLE}<p>{ARTICLE}</div><div class='comments'><p>{ARTICLE}</p></div>", f"{ARTICLE.strip()}\n{ARTICLE.strip()}"),
+        (f"<body><form action=x><input name=v><div><p>{ARTICLE}</p><p>{ARTICLE}</p></div><button>Go</button></form></body>", f"{ARTICLE.strip()}\n{ARTICLE.strip()}"),
+        (f"<article><p>{ARTICLE}</p><p>So <math><mi>a</mi></math> is one.</p></article>", f"{ARTICLE.strip()}\nSo a is one."),
+        (f"<article><p>{ARTICLE}</p><p class='notice-period'>Three months.</p><p class='notice'>Cookies!</p></article>", f"{ARTICLE.strip()}\nThree months."),
+        (f"<body><div><p>{ARTICLE}</p></div>Loose text.<div><p>{ARTICLE}</p></div></body>", f"{ARTICLE.strip()}\nLoose text.\n{ARTICLE.strip()}"),
+        (f"<body><div><p>{ARTICLE}</p></div><div><p>Short one.</p></div><div><a href=1>More</a> <a href=2>Links</a></div></body>", f"{ARTICLE.strip()}\nShort one."),
+        (f"<main><article><p>{ARTICLE}</p></article><article><p>{ARTICLE}</p><article class=nested><p>{ARTICLE}</p></article>End.</article></main>", "\n".join([ARTICLE.strip()] * 3 + ["End."])),
+        (f"<body><table><tr><td><p>{ARTICLE}</p></td></tr><tr><td>A cell.</td></tr></table><div class=x>Elsewhere</div></body>", f"{ARTICLE.strip()}\nA cell."),
         (f"<main><p>{ARTICLE}</p><script>var a = '<p>no</p>'</script><style>p {{}}</style><form><p>Mail, please, now</p></form></main>", ARTICLE.strip()),
     ],
 )
