@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from scanloom.plans import geometry_queries, map_queries, pattern_queries, registry
+from scanloom.plans import detector_queries, geometry_queries, map_queries, pattern_queries, registry, source_queries
 
 FLAGSHIP = "remove_static_background"
-MODULES = (pattern_queries, map_queries, geometry_queries)
+MODULES = (pattern_queries, map_queries, geometry_queries, source_queries, detector_queries)
 
 
 def queries() -> dict[str, registry.Query]:

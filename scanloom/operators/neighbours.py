@@ -29,7 +29,8 @@ def map_tiles(df: DataFrame, reach: tuple[int, int], kernel: Callable[[pa.Table,
     """``kernel(rows, grid, home)`` for each tile of each map (``maps``: the columns that tell maps apart).
 
     rows are the tile's points and those within ``reach`` of it; grid has the row at each place of the tile with its
-    margin, -1 where there is none; home lists the rows of the tile itself, for which the kernel gives results.
+    margin, -1 where there is none; home lists the rows of the tile itself, for which the kernel gives results. Rows without
+    y or x lie on no map and are left out. Two rows at one point of a map are an error: neither could be its neighbours'.
     """
     ry, rx = reach
     near = lambda c, r: F.sequence(F.floor((F.col(c) - r) / tile), F.floor((F.col(c) + r) / tile))
@@ -41,6 +42,9 @@ def map_tiles(df: DataFrame, reach: tuple[int, int], kernel: Callable[[pa.Table,
         y, x = (table.column(c).to_numpy().astype(np.int64) - t * tile + r for c, t, r in (("y", ty, ry), ("x", tx, rx)))
         grid = np.full((tile + 2 * ry, tile + 2 * rx), -1)
         grid[y, x] = np.arange(table.num_rows)
+        if (grid >= 0).sum() < table.num_rows:
+            at = np.flatnonzero(grid[y, x] != np.arange(table.num_rows))[0]
+            raise ValueError(f"several rows are at y={y[at] + ty * tile - ry}, x={x[at] + tx * tile - rx} of a map")
         home = np.flatnonzero((y >= ry) & (y < ry + tile) & (x >= rx) & (x < rx + tile))
         if not len(home):  # a tile of margins only
             return to_arrow_schema(schema).empty_table()

@@ -86,3 +86,39 @@ class VirtualImager:
         regions = [tiles] if isinstance(tiles, tuple) else list(tiles)
         regions = [self.region(t) if len(t) == 2 else t for t in regions]
         return sum((px.region_sum(F.col(column), self.shape, *r) for r in regions[1:]), px.region_sum(F.col(column), self.shape, *regions[0]))
+
+
+def rescale_image(df: DataFrame, out_range: tuple[float, float] = (-1.0, 1.0), in_range: tuple[float, float] | None = None, percentiles: tuple[float, float] | None = None, maps: Sequence[str] = (), column: str = "v") -> DataFrame:
+    """A virtual image, one row per map point, from its extremes (or ``in_range``, or percentiles of it, clipped) to
+    ``out_range``. An image without contrast gives null. ``maps``: the columns that tell images apart."""
+    v = F.col(column)
+    if in_range is not None:
+        ends = None
+        lo, hi = F.lit(float(in_range[0])), F.lit(float(in_range[1]))
+    else:
+        which = [F.min(v), F.max(v)] if percentiles is None else [F.percentile(v, p / 100) for p in percentiles]
+        ends = df.groupBy(*[F.col(m).alias(f"_{m}") for m in maps]).agg(which[0].alias("_lo"), which[1].alias("_hi"))
+        lo, hi = F.col("_lo"), F.col("_hi")
+    part = F.when(hi > lo, (F.greatest(F.least(v, hi), lo) - lo) / (hi - lo))
+    out = _with_ends(df, ends, maps)
+    return out.withColumn(column, part * float(out_range[1] - out_range[0]) + float(out_range[0])).select(*df.columns)
+
+
+def normalize_image(df: DataFrame, num_std: float = 1, maps: Sequence[str] = (), column: str = "v") -> DataFrame:
+    """A virtual image to a mean of 0 and a standard deviation of 1 / ``num_std``; null without contrast."""
+    v = F.col(column)
+    ends = df.groupBy(*[F.col(m).alias(f"_{m}") for m in maps]).agg(F.avg(v).alias("_mean"), F.stddev_pop(v).alias("_std"))
+    out = _with_ends(df, ends, maps)
+    return out.withColumn(column, F.when(F.col("_std") > 0, (v - F.col("_mean")) / (num_std * F.col("_std")))).select(*df.columns)
+
+
+def _with_ends(df: DataFrame, ends: DataFrame | None, maps: Sequence[str]) -> DataFrame:
+    if ends is None:
+        return df
+    if not maps:  # one row
+        return df.join(F.broadcast(ends))
+    on = None
+    for m in maps:
+        same = F.col(m).eqNullSafe(F.col(f"_{m}"))
+        on = same if on is None else on & same
+    return df.join(ends, on)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 
 from scanloom.operators.detector import Detector
@@ -47,9 +48,34 @@ def load(spark: SparkSession, path: str, format: str | None = None, **options) -
     return Scan(df, layout.shape, layout.dtype, (layout.ny, layout.nx), detector, background, step=layout.step, unit="um" if layout.step != (1.0, 1.0) else "px")
 
 
-def save(scan: Scan, path: str, scan_id: str = "1") -> None:
-    """To a raw file of 8-bit patterns if the path ends in .dat, else to a store of scans."""
-    if path.lower().endswith(".dat"):
+def _exists(path: str) -> bool:
+    fs, at = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    return fs.get_file_info(at).type != pafs.FileType.NotFound
+
+
+def save(scan: Scan, path: str, scan_id: str = "1", overwrite: bool | None = None) -> bool:
+    """To a raw file of 8-bit patterns if the path ends in .dat, to an .up1, .up2 or .ebsp file, else to a store of scans.
+
+    Folders that are missing are made. A file that is there is replaced if ``overwrite`` is true, kept if it is false, and
+    otherwise an error. Whether something was written.
+    """
+    suffix = path.lower().rsplit("/", 1)[-1].rpartition(".")[2]
+    if suffix not in EXTENSIONS:
+        store.write_scan(scan, path, scan_id)
+        return True
+    if _exists(path) and not overwrite:
+        if overwrite is None:
+            raise FileExistsError(path)
+        return False
+    if suffix == "dat":
         nordif.write_nordif(scan.df, path)
+    elif suffix == "ebsp":
+        ebsp.write_ebsp(scan.df, path, scan.shape, scan.df.count(), scan.step[1], scan.dtype)
     else:
-        store.write_scan(scan, path, scan_id)
+        edax.write_edax(scan.df, path, scan.shape, scan.map_shape(), scan.step)
+    return True
+
+
+def save_decomposition_model(scan: Scan, path: str, components=None, scan_id: str = "1") -> bool:
+    """The model of a scan from some of its components, written by the tasks as it is computed."""
+    return save(scan.get_decomposition_model(components), path, scan_id)

@@ -5,12 +5,13 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+from pyspark.sql import DataFrame
 
-from scanloom.sources.files import Layout, PatternSource, open_file
+from scanloom.sources.files import Layout, PatternSource, open_file, write_records
 
-#: Pixels that a pattern is assumed to have at least when the number of patterns is found from the offsets, and the most
-#: bytes that one pattern can take.
-LEAST_PIXELS, MOST_BYTES = 1600, 20_000_000
+#: Offsets read at once.
+AT_ONCE = 1 << 20
+_MOST = int(np.iinfo(np.int64).max)
 
 
 def _header(version: int) -> str:
@@ -18,18 +19,33 @@ def _header(version: int) -> str:
     return "<6i" if version >= 5 else "<4i"
 
 
-def count_patterns(offsets: np.ndarray, table_at: int) -> int:
-    """How many of the numbers read as offsets are offsets. The first pattern lies right behind the table, so the table's
-    end is the least offset that isn't 0 and lies behind the numbers that led to it."""
-    least = np.iinfo(np.int64).max
-    for k, v in enumerate(offsets.tolist()):
-        if table_at + 8 * k >= least:
-            return k
-        if v:
-            if v < table_at or v > least + (1 << 62):
-                return k
-            least = min(least, v)
-    return len(offsets)
+def count_patterns(offsets: np.ndarray, table_at: int, least: int = _MOST) -> tuple[int, int]:
+    """How many of the numbers read as offsets are offsets, and the least of those. The first pattern lies right behind the
+    table, so the table's end is the least offset that isn't 0 and lies behind the numbers that led to it. ``table_at`` is
+    where the first of the numbers stands, ``least`` the least offset before it."""
+    v = np.where(offsets == 0, _MOST, offsets)
+    before = np.minimum.accumulate(np.concatenate([[least], v]))
+    here = table_at + 8 * np.arange(len(v), dtype=np.int64)
+    ends = (here >= before[:-1]) | ((offsets != 0) & (v < here + 8))
+    n = int(ends.argmax()) if ends.any() else len(v)
+    return n, int(before[n])
+
+
+def read_offsets(file, table_at: int, size: int) -> np.ndarray:
+    """The whole table of offsets, AT_ONCE of them at a time."""
+    parts, least, at = [], _MOST, table_at
+    while at < size:
+        file.seek(at)
+        raw = file.read(8 * min(AT_ONCE, (size - at) // 8))
+        if not raw:
+            break
+        some = np.frombuffer(raw, "<i8")
+        n, least = count_patterns(some, at, least)
+        parts.append(some[:n])
+        at += 8 * n
+        if n < len(some):
+            break
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def layout_of(path: str) -> Layout:
@@ -41,11 +57,8 @@ def layout_of(path: str) -> Layout:
         version = -first if first < 0 else 0
         table_at = 0 if version == 0 else 9 if version > 3 else 8
         head = _header(version)
-        file.seek(table_at)
-        most = max(1, (size - table_at) // 8)
-        offsets = np.frombuffer(file.read(8 * min(most, 1 << 24)), np.int64)
-        n = count_patterns(offsets, table_at)
-        offsets = offsets[:n]
+        offsets = read_offsets(file, table_at, size)
+        n = len(offsets)
         there = offsets[offsets != 0]
         if not len(there):
             raise ValueError("a file without patterns")
@@ -90,3 +103,23 @@ class EbspSource(PatternSource):
 
     def layout(self) -> Layout:
         return layout_of(self.path)
+
+
+def write_ebsp(df: DataFrame, path: str, shape: tuple[int, int], n: int, step: float = 1.0, dtype: str = "uint8") -> int:
+    """All n patterns of ``df`` in the order of idx as a file of version 5, with the place of each in the map and that of
+    the beam."""
+    rows, cols = shape
+    kind = np.dtype([("place", "<i4", 2), ("head", "<i4", 4), ("pixels", np.dtype(dtype).newbyteorder("<"), rows * cols), ("has_x", "u1"), ("beam_x", "<f8"), ("has_y", "u1"), ("beam_y", "<f8")])
+    at = 9 + 8 * n
+    head = struct.pack("<qB", -5, 0) + (at + kind.itemsize * np.arange(n, dtype="<i8")).tobytes()
+    most = np.iinfo(dtype).max
+
+    def record(idx: np.ndarray, y: np.ndarray, x: np.ndarray, pixels: np.ndarray) -> bytes:
+        out = np.zeros(len(idx), kind)
+        out["place"][:, 0], out["place"][:, 1] = x, y
+        out["head"] = 0, rows, cols, rows * cols * np.dtype(dtype).itemsize
+        out["pixels"] = np.clip(pixels, 0, most)
+        out["has_x"], out["has_y"], out["beam_x"], out["beam_y"] = 1, 1, x * step, y * step
+        return out.tobytes()
+
+    return write_records(df, path, head, record)

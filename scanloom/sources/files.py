@@ -6,15 +6,20 @@ driver; a partition is a range of patterns of bounded size, so that tasks read t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+import warnings
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import ArrayType, IntegerType, LongType, ShortType, StructField, StructType
 
+from scanloom.storage import scratch_path
+
 #: Bytes of patterns in a partition, and patterns in an Arrow batch.
 PARTITION_BYTES, BATCH = 32 << 20, 256
 
@@ -117,4 +122,49 @@ class PatternSource(DataSource):
         return schema_of(self.layout().dtype)
 
     def reader(self, schema: StructType) -> PatternReader:
-        return PatternReader(self.path, self.layout())
+        layout = self.layout()
+        if layout.positions is None:
+            with open_file(self.path) as file:
+                size = file.size()
+            if size < layout.offset + layout.n * (layout.stride or layout.n_bytes):
+                warnings.warn(f"{self.path} ends before its last pattern; what is missing is read as zeros", stacklevel=2)
+        return PatternReader(self.path, layout)
+
+
+def write_records(df: DataFrame, path: str, head: bytes, record: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], bytes], column: str = "pixels") -> int:
+    """``head``, then ``record(idx, y, x, pixels)`` of all rows of ``df`` in the order of idx, as one file; the number of bytes.
+
+    ``pixels`` is a block (n, pixels). Tasks write sorted ranges to the shared folder, and the driver joins the parts, a
+    piece at a time: its memory is bounded, whatever the size of the file. Rows with null patterns are refused.
+    """
+    spark = df.sparkSession
+    folder = scratch_path(spark, "records")
+    fs, at = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(at)
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, where = pafs.FileSystem.from_uri(folder)
+        store.create_dir(where)
+        name, first, n = f"{where}/{uuid.uuid4().hex}", None, 0
+        with store.open_output_stream(name) as out:
+            for b in batches:
+                if b.num_rows:
+                    if b.column(3).null_count:
+                        raise ValueError("a null pattern can't be written")
+                    first = b.column(0)[0].as_py() if first is None else first
+                    places = [b.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+                    n += out.write(record(*places, b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)))
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([name]), pa.array([n])], ["first", "name", "n"])
+
+    ranges = df.select("idx", "y", "x", column).repartitionByRange("idx").sortWithinPartitions("idx")
+    parts = sorted(ranges.mapInArrow(written, "first bigint, name string, n bigint").collect())
+    target, to = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    target.create_dir(to.rpartition("/")[0])
+    with target.open_output_stream(to) as out:
+        total = out.write(head)
+        for _, name, _n in parts:
+            with fs.open_input_file(name) as part:
+                while piece := part.read(8 << 20):
+                    total += out.write(piece)
+    return total

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
@@ -41,6 +42,16 @@ def write_bmp(image: np.ndarray) -> bytes:
     return b"BM" + struct.pack("<IHHI", at + body.size, 0, 0, at) + struct.pack("<IiiHHIIiiII", 40, cols, rows, 1, 8, 0, body.size, 0, 0, 256, 0) + palette.tobytes() + body.tobytes()
 
 
+def write_png(image: np.ndarray) -> bytes:
+    """Of 8 or 16 bits, as the image."""
+    rows, cols = image.shape
+    bits = 8 * image.dtype.itemsize
+    lines = np.zeros((rows, 1 + cols * bits // 8), np.uint8)
+    lines[:, 1:] = image.astype(f">u{bits // 8}").view(np.uint8).reshape(rows, -1)
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", cols, rows, bits, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
+
+
 def read_png(raw: bytes) -> np.ndarray:
     if raw[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("not a PNG file")
@@ -152,3 +163,23 @@ def read_directory(spark: SparkSession, path: str, pattern: str | None = None, g
         order = spark.createDataFrame(list(enumerate(names)), "idx bigint, path string")
         named = files.join(order, "path").withColumns({"y": F.lit(0), "x": F.col("idx").cast("int")})
     return decode_files(named.select("idx", "y", "x", "path", "content"))
+
+
+def write_directory(df: DataFrame, path: str, shape: tuple[int, int], suffix: str = "png", name: str = "pattern_x{x}y{y}", column: str = "pixels") -> int:
+    """One 8-bit image per pattern, named after its map point, written by the tasks; the number of files. A file that is
+    there is replaced, so a task may run again."""
+    writer = {"png": write_png, "bmp": write_bmp}[suffix]
+    fs, at = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    fs.create_dir(at)
+
+    def run(batches):
+        store, where = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+        for b in batches:
+            block = np.clip(b.column(2).flatten().to_numpy(zero_copy_only=False), 0, 255).astype(np.uint8).reshape(-1, *shape)
+            for y, x, image in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), block, strict=True):
+                with store.open_output_stream(f"{where}/{name.format(y=y, x=x)}.{suffix}") as out:
+                    out.write(writer(image))
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    made = df.select("y", "x", column).mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0]
+    return int(made or 0)

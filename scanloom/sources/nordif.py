@@ -9,9 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.sources.files import Layout, PatternSource, open_file, read_bytes
+from scanloom.sources.files import Layout, PatternSource, open_file, read_bytes, write_records
 from scanloom.sources.images import read_bmp
-from scanloom.storage import scratch_path
 
 
 @dataclass(frozen=True)
@@ -120,40 +119,8 @@ def calibration_patterns(df_files: DataFrame) -> DataFrame:
 
 
 def write_nordif(df: DataFrame, path: str, column: str = "pixels") -> int:
-    """All patterns of ``df`` in the order of idx as one raw 8-bit file; the number of bytes. Tasks write sorted ranges to
-    the shared folder, and the driver joins the parts, a piece at a time."""
-    import pyarrow as pa
-    import pyarrow.fs as pafs
-
-    spark = df.sparkSession
-    folder = scratch_path(spark, "nordif")
-    fs, at = pafs.FileSystem.from_uri(folder)
-    fs.create_dir(at)
-
-    def written(batches):
-        import uuid
-
-        store, where = pafs.FileSystem.from_uri(folder)
-        store.create_dir(where)
-        name, first, n = f"{where}/{uuid.uuid4().hex}", None, 0
-        with store.open_output_stream(name) as out:
-            for b in batches:
-                if b.num_rows:
-                    first = b.column(0)[0].as_py() if first is None else first
-                    n += out.write(np.clip(b.column(1).flatten().to_numpy(zero_copy_only=False), 0, 255).astype(np.uint8).tobytes())
-        if first is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([name]), pa.array([n])], ["first", "name", "n"])
-
-    ranges = df.select("idx", column).repartitionByRange("idx").sortWithinPartitions("idx")
-    parts = sorted(ranges.mapInArrow(written, "first bigint, name string, n bigint").collect())
-    target, to = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-    total = 0
-    with target.open_output_stream(to) as out:
-        for _, name, _n in parts:
-            with fs.open_input_file(name) as part:
-                while piece := part.read(8 << 20):
-                    total += out.write(piece)
-    return total
+    """All patterns of ``df`` in the order of idx as one raw 8-bit file; the number of bytes."""
+    return write_records(df, path, b"", lambda idx, y, x, pixels: np.clip(pixels, 0, 255).astype(np.uint8).tobytes(), column)
 
 
 __all__ = ["NordifSource", "Settings", "calibration_patterns", "open_file", "parse_settings", "read_settings", "static_background", "write_nordif"]

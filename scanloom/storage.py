@@ -16,6 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, or an own folder where that is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='scanloom-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
