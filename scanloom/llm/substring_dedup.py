@@ -5,20 +5,26 @@ window of LENGTH bytes the leftmost KGRAM-gram with the least hash. Equal window
 if a window repeats, two anchor suffixes share at least KGRAM bytes. Windows that equal one a short period earlier in the
 same text are known to repeat and need no anchor; without that, runs of one word would be all anchors.
 
-1. Anchors go to buckets by their k-gram's hash, with a hash of all bytes that their windows can reach (the context). Of
-   equal contexts in a block only the first travels. In a bucket, all occurrences of a context but the first are repeats
-   in whole. First occurrences of contexts that share a k-gram with another context go on.
-2. Their suffixes are dealt to buckets by their leading bytes, between splitters from a sample. A bucket sorts them by
-   multikey sort, and the left contexts, reversed, in the same way. For each offset of a window in its context, equal
-   windows are a range of suffixes that agree to the right and a range that agree to the left; of each such pair of
-   ranges the first occurrence stays. Splitters never part equal leading bytes and k-grams are longer than those, so no
-   two suffixes of neighbouring buckets share an anchor: the comparison over a boundary finds them apart by construction.
+1. An anchor's suffix is three tokens: its first eight bytes, a hash of its k-gram, and a hash of all bytes that its
+   windows can reach (the context). Of equal suffixes in a block only the first travels. Suffixes are dealt to buckets by
+   their leading tokens, between splitters from a sample of them, and a bucket sorts its own by multikey sort. All
+   occurrences of a context but the first are then repeats in whole. First occurrences of contexts that share a k-gram
+   with another context go on. The last k-gram of a bucket may go on in the next one, which is where buckets are compared
+   over their boundary: contexts with such a k-gram always go on.
+2. Those suffixes are dealt to buckets by their leading bytes, between splitters from a sample of them. A bucket sorts
+   them by multikey sort, and the left contexts, reversed, in the same way. For each offset of a window in its context,
+   equal windows are a range of suffixes that agree to the right and a range that agree to the left; of each such pair of
+   ranges the first occurrence stays. Splitters never part equal leading bytes and k-grams are longer than those, so the
+   comparison over a boundary finds no two suffixes with a common anchor. Leading bytes that two or more splitters have in
+   common belong to a passage in very many documents, and no bucket gets all of those: their windows are dealt one by one,
+   by a hash of all their bytes, and of equal windows in a block only the first travels.
 3. The bytes of all repeated windows are counted and cut, block by block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +40,9 @@ LENGTH, KGRAM = 100, 32
 SPAN = LENGTH - KGRAM + 1
 #: Bytes worked on at once, and their bits; anchors in a bucket of step 1 and suffixes in one of step 2, about.
 PIECE, BITS, BUCKET, SORTED = 1 << 19, 24, 1 << 18, 1 << 16
-SAMPLE = 20_000
+#: Sampled suffixes for each bucket, at least and at most; blocks that they are taken from at most, and bytes of
+#: texts at the start of each.
+PER_BUCKET, LEAST_SAMPLE, MOST_SAMPLE, SAMPLED_BLOCKS, SAMPLED_BYTES = 50, 20_000, 2_000_000, 1000, 1 << 20
 _BYTE = np.random.default_rng(977).integers(1, 1 << 63, 256, dtype=np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -144,7 +152,8 @@ def _group_value(first: np.ndarray, values: np.ndarray) -> np.ndarray:
     return values[np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))]
 
 
-_STEP1 = np.dtype([("gram", "<u8"), ("context", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("id", "<i8"), ("hash", "<u4")])
+_TOKENS = np.dtype([("lead", "<u8"), ("gram", "<u8"), ("context", "<u8")])
+_STEP1 = np.dtype([("lead", "<u8"), ("gram", "<u8"), ("context", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("id", "<i8"), ("hash", "<u4")])
 _AT = np.dtype([("doc", "<u4"), ("at", "<u4")])
 _COVER = np.dtype([("doc", "<u4"), ("start", "<u4"), ("stop", "<u4")])
 _STEP2 = np.dtype([("doc", "<u4"), ("at", "<u4"), ("id", "<i8"), ("hash", "<u4"), ("left", "u1"), ("right", "u1"), ("before", "u1", SPAN - 1), ("after", "u1", LENGTH)])
@@ -174,7 +183,67 @@ _KINDS1 = {"bucket": pa.int64(), "block": pa.int64(), "sent": pa.binary(), "cove
 _KINDS_FOUND = {"block": pa.int64(), "cover": pa.binary(), "whole": pa.binary(), "more": pa.binary()}
 
 
-def _send_anchors(n_buckets: int):
+def _lead(b: Block, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes at places of documents, in the order of bytes; a k-gram stands there, so they are all there."""
+    raw = np.frombuffer(b.raw, np.uint8)
+    if not len(doc):
+        return np.zeros(0, np.uint64)
+    return raw[(b.first[doc] + at)[:, None] + np.arange(8)].view(">u8").ravel().astype(np.uint64)
+
+
+def _order(tokens: dict[str, np.ndarray] | np.ndarray, *first: np.ndarray) -> np.ndarray:
+    """The order of suffixes by their tokens; equal ones in the order of ``first``, the least important key first."""
+    by = np.lexsort(first) if first else np.arange(len(tokens["gram"]))
+    words = np.stack([np.asarray(tokens[k])[by] for k in ("lead", "gram", "context")], axis=1).astype(">u8")
+    return by[multikey_order(np.ascontiguousarray(words).view(np.uint8).reshape(len(by), 24))]
+
+
+def _bucket_of(rows: np.ndarray, splitters: np.ndarray) -> np.ndarray:
+    """The bucket of each row, by how many splitters aren't behind it."""
+    both = {k: np.concatenate([splitters[k], rows[k]]) for k in _TOKENS.names}
+    is_row = np.arange(len(splitters) + len(rows)) >= len(splitters)
+    order = _order(both, is_row)
+    passed = np.cumsum(~is_row[order])
+    out = np.empty(len(rows), np.int64)
+    out[order[is_row[order]] - len(splitters)] = passed[is_row[order]]
+    return out
+
+
+def _place(b: Block) -> np.ndarray:
+    """The place of each document in the order of ids; those equal in id and text are one document."""
+    hashes = b.hashes >> np.uint64(32)
+    order = np.lexsort((hashes, b.ids))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(_firsts(b.ids[order], hashes[order]))
+    return place
+
+
+def _step1(b: Block, doc: np.ndarray, at: np.ndarray, lead: np.ndarray, gram: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that travel, in the order of their tokens; places of the others): of equal suffixes of a block the first one."""
+    when = _place(b)[doc] << 32 | at
+    by = _order({"lead": lead, "gram": gram, "context": context}, when)
+    same = _group_value(_firsts(gram[by], context[by]), when[by]) == when[by]
+    go, stay = by[same], by[~same]
+    rest = np.zeros(len(stay), _AT)
+    rest["doc"], rest["at"] = doc[stay], at[stay]
+    rows = np.zeros(len(go), _STEP1)
+    for k, v in (("lead", lead), ("gram", gram), ("context", context), ("doc", doc), ("at", at)):
+        rows[k] = v[go]
+    rows["id"], rows["hash"] = b.ids[doc[go]], b.hashes[doc[go]] >> np.uint64(32)
+    return rows, rest
+
+
+def _packs(name: int, rows: np.ndarray, bucket: np.ndarray, cover: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
+    by = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[by])) + 1
+    parts = [(int(bucket[p[0]]), _pack(rows[p], True)) for p in np.split(by, cuts) if len(p)]
+    # what needs no bucket goes along with any
+    parts = parts or [(0, b"")]
+    n = len(parts)
+    return _rows({"bucket": [p[0] for p in parts], "block": [name] * n, "sent": [p[1] for p in parts], "cover": [cover.tobytes()] + [b""] * (n - 1), "whole": [whole.tobytes()] + [b""] * (n - 1)}, _KINDS1)
+
+
+def _send_anchors(splitters: np.ndarray):
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, path in zip(batch.column("block").to_pylist(), batch.column("path").to_pylist(), strict=True):
@@ -182,57 +251,118 @@ def _send_anchors(n_buckets: int):
                 doc, at, gram, context, repeats = anchors(np.frombuffer(b.raw, np.uint8), b.first, b.last)
                 cover = np.zeros(len(repeats), _COVER)
                 cover["doc"], cover["start"], cover["stop"] = repeats.T
-                # documents by their order; those equal in id and text are one document
-                hashes = b.hashes >> np.uint64(32)
-                order = np.lexsort((hashes, b.ids))
-                place = np.empty(len(order), np.int64)
-                place[order] = np.cumsum(_firsts(b.ids[order], hashes[order]))
-                when = place[doc] << 32 | at
-                by = np.lexsort((when, context, gram))
-                same = _group_value(_firsts(gram[by], context[by]), when[by]) == when[by]
-                go, stay = by[same], by[~same]
-                whole = np.zeros(len(stay), _AT)
-                whole["doc"], whole["at"] = doc[stay], at[stay]
-                rows = np.zeros(len(go), _STEP1)
-                for k, v in (("gram", gram), ("context", context), ("doc", doc), ("at", at)):
-                    rows[k] = v[go]
-                rows["id"], rows["hash"] = b.ids[doc[go]], b.hashes[doc[go]] >> np.uint64(32)
-                bucket = (rows["gram"] >> np.uint64(32)).astype(np.int64) * n_buckets >> 32  # rows come in the order of it
-                cuts = np.flatnonzero(np.diff(bucket)) + 1
-                parts = [(int(bucket[p[0]]), _pack(rows[p], True)) for p in np.split(np.arange(len(rows)), cuts) if len(p)]
-                # what needs no bucket goes along with any
-                parts = parts or [(0, b"")]
-                n = len(parts)
-                yield _rows({"bucket": [p[0] for p in parts], "block": [name] * n, "sent": [p[1] for p in parts], "cover": [cover.tobytes()] + [b""] * (n - 1), "whole": [whole.tobytes()] + [b""] * (n - 1)}, _KINDS1)
+                rows, whole = _step1(b, doc, at, _lead(b, doc, at), gram, context)
+                yield _packs(name, rows, _bucket_of(rows, splitters), cover, whole)
 
     return sent
 
 
-def _match_contexts(table: pa.Table) -> pa.Table:
-    """Step 1 in a bucket."""
+def _sample_anchors(per_block: int):
+    """Tokens of some suffixes of each block."""
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                b = Block.load(path)
+                raw = b.raw[: int(b.last[np.searchsorted(b.last, SAMPLED_BYTES)]) if b.last[-1] > SAMPLED_BYTES else len(b.raw)] if len(b.last) else b""
+                n = int(np.searchsorted(b.last, len(raw), "right"))
+                doc, at, gram, context, _ = anchors(np.frombuffer(raw, np.uint8), b.first[:n], b.last[:n])
+                rows, _ = _step1(b, doc, at, _lead(b, doc, at), gram, context)
+                some = rows[np.random.default_rng(len(rows)).permutation(len(rows))[:per_block]]
+                yield pa.RecordBatch.from_arrays([pa.array(some[k].view(np.int64)) for k in _TOKENS.names], list(_TOKENS.names))
+
+    return sampled
+
+
+def _matched(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Blocks of a bucket's packs; its rows, sorted; where a suffix differs from the one before; whether a row is the first
+    of its suffix; and the rows of each pack."""
     names, sent = table.column("block").to_pylist(), table.column("sent").to_pylist()
     rows, sizes = _unpack(sent, _STEP1, True)
     block = np.repeat(np.arange(len(names)), sizes)
-    by = np.lexsort((rows["at"], rows["hash"], rows["id"], rows["context"], rows["gram"]))
+    by = _order(rows, rows["at"], rows["hash"], rows["id"])
     r, block = rows[by], block[by]
     new = _firsts(r["gram"], r["context"])
     first = np.ones(len(r), bool)
     for k in ("id", "hash", "at"):
         first &= _group_value(new, r[k]) == r[k]
-    group = np.cumsum(_firsts(r["gram"])) - 1
-    several = np.bincount(group, new, 1)[group] > 1 if len(group) else first
-    out = {"block": names, "cover": table.column("cover").to_pylist(), "whole": [], "more": []}
-    at = np.zeros(len(r), _AT)
-    at["doc"], at["at"] = r["doc"], r["at"]
     by = np.argsort(block, kind="stable")
     cuts = np.searchsorted(block[by], np.arange(len(names) + 1))
-    for k, had in enumerate(table.column("whole").to_pylist()):
-        own = by[cuts[k] : cuts[k + 1]]
-        out["whole"].append(had + at[own[~first[own]]].tobytes())
-        out["more"].append(at[own[(first & several)[own]]].tobytes())
+    return names, r, new, first, [by[cuts[k] : cuts[k + 1]] for k in range(len(names))]
+
+
+def _match_contexts(edges: np.ndarray):
+    """Step 1 in a bucket. ``edges``: k-grams of the splitters, which may be in two buckets."""
+
+    def matched(table: pa.Table) -> pa.Table:
+        names, r, new, first, packs = _matched(table)
+        group = np.cumsum(_firsts(r["gram"])) - 1
+        several = (np.bincount(group, new, 1)[group] > 1 if len(group) else first) | np.isin(r["gram"], edges)
+        out = {"block": names, "cover": table.column("cover").to_pylist(), "whole": [], "more": []}
+        at = np.zeros(len(r), _AT)
+        at["doc"], at["at"] = r["doc"], r["at"]
+        for own, had in zip(packs, table.column("whole").to_pylist(), strict=True):
+            out["whole"].append(had + at[own[~first[own]]].tobytes())
+            out["more"].append(at[own[(first & several)[own]]].tobytes())
+        return pa.Table.from_batches([_rows(out, _KINDS_FOUND)])
+
+    return matched
+
+
+def _match_windows(table: pa.Table) -> pa.Table:
+    """Step 2 for windows that are dealt one by one: all but the first of equal ones repeat."""
+    names, r, _, first, packs = _matched(table)
+    out = {"block": names, "cover": [], "whole": [b""] * len(names), "more": [b""] * len(names)}
+    for own, had in zip(packs, table.column("cover").to_pylist(), strict=True):
+        out["cover"].append(had + _covers(r["doc"][own[~first[own]]], r["at"][own[~first[own]]]).tobytes())
     return pa.Table.from_batches([_rows(out, _KINDS_FOUND)])
 
 
+def _covers(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(doc), _COVER)
+    out["doc"], out["start"], out["stop"] = doc, start, start + LENGTH
+    return out
+
+
+def _windows(b: Block, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, start, hash of the window, hash of its first k-gram) of all windows that reach over the anchors ``where``."""
+    raw = np.frombuffer(b.raw, np.uint8)
+    keys = (where["doc"].astype(np.int64)[:, None] << 32) + where["at"][:, None].astype(np.int64) - np.arange(SPAN)[None]
+    fits = (where["at"][:, None] >= np.arange(SPAN)) & (where["at"][:, None] - np.arange(SPAN) + LENGTH <= (b.last - b.first)[where["doc"]][:, None])
+    keys = np.unique(keys[fits])
+    doc, start = keys >> 32, keys & ((1 << 32) - 1)
+    window, gram = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.uint64)
+    # a document at a time, so that the hash's powers stay few
+    cuts = np.searchsorted(doc, np.unique(doc))
+    for own in np.split(np.arange(len(keys)), cuts[1:]):
+        if len(own):
+            d = doc[own[0]]
+            sums, back = _sums(raw[b.first[d] : b.last[d]])
+            at = start[own]
+            window[own] = mix((sums[at + LENGTH] - sums[at]) * back[at])
+            gram[own] = mix((sums[at + KGRAM] - sums[at]) * back[at])
+    return doc, start, window, gram
+
+
+def _send_windows(hot: np.ndarray, n_buckets: int):
+    """Windows over the suffixes with hot leading bytes, by the hash of each."""
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, path, more in zip(*(batch.column(c).to_pylist() for c in ("block", "path", "more")), strict=True):
+                where = np.frombuffer(b"".join(more or []), _AT)
+                b = Block.load(path) if len(where) else None
+                where = where[np.isin(_lead(b, where["doc"].astype(np.int64), where["at"].astype(np.int64)), hot)] if b else where
+                if not len(where):
+                    continue
+                doc, start, window, gram = _windows(b, where)
+                rows, again = _step1(b, doc, start, np.zeros(len(doc), np.uint64), gram, window)
+                bucket = (rows["context"] >> np.uint64(32)).astype(np.int64) * n_buckets >> 32
+                yield _packs(name, rows, bucket, _covers(again["doc"], again["at"]), np.zeros(0, _AT))
+
+    return sent
+
+
 def _suffixes(b: Block, more: bytes) -> np.ndarray:
     """Suffixes with their left contexts at the places in ``more``."""
     where = np.frombuffer(more, _AT)
@@ -249,18 +379,18 @@ def _suffixes(b: Block, more: bytes) -> np.ndarray:
     return rows
 
 
-def _leading(rows: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(rows["after"][:, :8]).view(">u8").ravel().astype(np.uint64)
-
-
-def _send_suffixes(splitters: np.ndarray):
+def _send_suffixes(splitters: np.ndarray, hot: np.ndarray):
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, path, more in zip(*(batch.column(c).to_pylist() for c in ("block", "path", "more")), strict=True):
-                if not any(more):
+                where = np.frombuffer(b"".join(more or []), _AT)
+                b = Block.load(path) if len(where) else None
+                lead = _lead(b, where["doc"].astype(np.int64), where["at"].astype(np.int64)) if b else np.zeros(0, np.uint64)
+                calm = ~np.isin(lead, hot)
+                if not calm.any():
                     continue
-                rows = _suffixes(Block.load(path), b"".join(more))
-                bucket = np.searchsorted(splitters, _leading(rows), "right")
+                rows = _suffixes(b, where[calm].tobytes())
+                bucket = np.searchsorted(splitters, lead[calm], "right")
                 by = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.diff(bucket[by])) + 1
                 parts = [(int(bucket[p[0]]), _pack(rows[p], False)) for p in np.split(by, cuts) if len(p)]
@@ -269,6 +399,17 @@ def _send_suffixes(splitters: np.ndarray):
     return sent
 
 
+def _sample_suffixes(per_block: int):
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, more in zip(batch.column("path").to_pylist(), batch.column("more").to_pylist(), strict=True):
+                where = np.frombuffer(b"".join(more), _AT)
+                some = where[np.random.default_rng(len(where)).permutation(len(where))[:per_block]]
+                yield pa.RecordBatch.from_arrays([pa.array(_lead(Block.load(path), some["doc"].astype(np.int64), some["at"].astype(np.int64)).view(np.int64))], ["lead"])
+
+    return sampled
+
+
 def multikey_order(strings: np.ndarray) -> np.ndarray:
     """The order of rows of bytes. Multikey sort with characters of eight bytes: all groups of rows that agree so far are
     ordered by their next character together, and rows that stand alone are done."""
@@ -380,32 +521,48 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ignored. A character may lose some of its bytes, so ``kept`` is binary.
     """
     manifest = write_blocks(docs, id_col, text_col)
-    total = manifest.agg(F.sum("n_bytes")).first()[0] or 0
-    spread = max(1, -(-total // (4 << 20)))
-    spread = min(spread, 100_000)
+    total, n_blocks = manifest.agg(F.sum("n_bytes"), F.count(F.lit(1))).first()
+    total = total or 0
+    spread = min(max(1, -(-total // (4 << 20))), 100_000)
     n_buckets = max(8, -(-total // (30 * BUCKET)))
     files = manifest.select("block", "path").repartition(spread)
     kinds = "block bigint, cover binary, whole binary, more binary"
-    sent = files.mapInArrow(_send_anchors(n_buckets), "bucket bigint, block bigint, sent binary, cover binary, whole binary")
-    found = materialise(sent.groupBy("bucket").applyInArrow(_match_contexts, kinds), "contexts")
+    some = manifest.orderBy("block").limit(SAMPLED_BLOCKS).select("path")
+    sample = some.mapInArrow(_sample_anchors(_share(n_buckets, n_blocks)), "lead bigint, gram bigint, context bigint").toPandas()
+    splitters = _splitters({k: sample[k].to_numpy().view(np.uint64) for k in _TOKENS.names}, n_buckets)
+    sent = files.mapInArrow(_send_anchors(splitters), "bucket bigint, block bigint, sent binary, cover binary, whole binary")
+    found = materialise(sent.groupBy("bucket").applyInArrow(_match_contexts(np.unique(splitters["gram"])), kinds), "contexts")
     wanted = found.filter("length(more) > 0").groupBy("block").agg(F.collect_list("more").alias("more"))
     wanted = materialise(wanted.join(manifest.select("block", "path"), "block"), "wanted")
-    n_suffixes = found.agg(F.sum(F.length("more"))).first()[0] or 0
-    n_suffixes //= _AT.itemsize
-
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, more in zip(batch.column("path").to_pylist(), batch.column("more").to_pylist(), strict=True):
-                where = np.frombuffer(b"".join(more), _AT)
-                some = where[np.random.default_rng(len(where)).permutation(len(where))[:500]]
-                yield pa.RecordBatch.from_arrays([pa.array(_leading(_suffixes(Block.load(path), some.tobytes())).view(np.int64))], ["leading"])
-
-    sample = wanted.orderBy("block").limit(SAMPLE // 500).mapInArrow(sampled, "leading bigint").toPandas()["leading"].to_numpy().view(np.uint64)
+    n_suffixes = (found.agg(F.sum(F.length("more"))).first()[0] or 0) // _AT.itemsize
     n_sorted = max(8, -(-n_suffixes // SORTED))
-    splitters = np.unique(np.sort(sample)[np.linspace(0, len(sample) - 1, n_sorted + 1).astype(int)[1:-1]]) if len(sample) else np.zeros(0, np.uint64)
-    suffixes = wanted.repartition(spread).mapInArrow(_send_suffixes(splitters), "bucket bigint, block bigint, sent binary")
-    more = materialise(suffixes.groupBy("bucket").applyInArrow(_match_suffixes, kinds), "suffixes")
-    covers = found.unionByName(more).groupBy("block").agg(F.collect_list("cover").alias("covers"), F.collect_list("whole").alias("wholes"))
+    sample = wanted.orderBy("block").limit(SAMPLED_BLOCKS).mapInArrow(_sample_suffixes(_share(n_sorted, n_blocks)), "lead bigint").toPandas()["lead"].to_numpy().view(np.uint64)
+    leads = np.sort(sample)[np.linspace(0, len(sample) - 1, n_sorted + 1).astype(int)[1:-1]] if len(sample) else np.zeros(0, np.uint64)
+    leads, times = np.unique(leads, return_counts=True)
+    hot = leads[times > 1]
+    suffixes = wanted.repartition(spread).mapInArrow(_send_suffixes(leads, hot), "bucket bigint, block bigint, sent binary")
+    all_found = [found, materialise(suffixes.groupBy("bucket").applyInArrow(_match_suffixes, kinds), "suffixes")]
+    if len(hot):
+        windows = wanted.repartition(spread).mapInArrow(_send_windows(hot, max(8, spread)), "bucket bigint, block bigint, sent binary, cover binary, whole binary")
+        all_found.append(materialise(windows.groupBy("bucket").applyInArrow(_match_windows, kinds), "windows"))
+    covers = reduce(DataFrame.unionByName, all_found).groupBy("block").agg(F.collect_list("cover").alias("covers"), F.collect_list("whole").alias("wholes"))
     blocks = manifest.select("block", "path").join(covers, "block", "left").drop("block")
     cut = blocks.repartition(spread).mapInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
     return cut.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept") if digest else cut
+
+
+def _share(n_buckets: int, n_blocks: int) -> int:
+    """Sampled suffixes of a block."""
+    wanted = min(max(LEAST_SAMPLE, PER_BUCKET * n_buckets), MOST_SAMPLE)
+    return -(-wanted // max(1, min(n_blocks, SAMPLED_BLOCKS)))
+
+
+def _splitters(sample: dict[str, np.ndarray], n_buckets: int) -> np.ndarray:
+    """Tokens that cut the sample into equal parts; each once."""
+    out = np.zeros(len(sample["gram"]), _TOKENS)
+    for k in _TOKENS.names:
+        out[k] = sample[k]
+    if not len(out):
+        return out
+    out = out[_order(out)][np.linspace(0, len(out) - 1, n_buckets + 1).astype(int)[1:-1]]
+    return out[_firsts(*(out[k] for k in _TOKENS.names))]

@@ -334,7 +334,9 @@ def brute_removed(rows, length=100):
     return out
 
 
-def test_repeats(spark, empty, monkeypatch):
+@pytest.mark.parametrize("bucket", [1 << 16, 40])
+def test_repeats(spark, empty, monkeypatch, bucket):
+    """40: many buckets, with k-grams over their boundaries and leading bytes too frequent for one."""
     rng = random.Random(9)
     sentence = lambda n: " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 8))) for _ in range(n))
     shared = [sentence(40) for _ in range(6)]
@@ -347,6 +349,8 @@ def test_repeats(spark, empty, monkeypatch):
     df = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id bigint, text string, n_bytes int").repartition(6)
     wanted = brute_removed(rows)
     monkeypatch.setattr(substring_dedup, "PIECE", 3000)
+    monkeypatch.setattr(substring_dedup, "BUCKET", bucket)
+    monkeypatch.setattr(substring_dedup, "SORTED", bucket)
     out = substring_dedup.remove_repeats(df, digest=True).collect()
     assert {r["doc_id"]: tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in out} == wanted
     assert substring_dedup.remove_repeats(empty).count() == 0
