@@ -23,7 +23,8 @@ from scanloom.storage import bounded_batches
 
 #: Patterns refined together.
 TOGETHER = 64
-METHODS = ("minimize", "ln_neldermead", "nelder-mead", "differential_evolution")
+METHODS = ("minimize", "ln_neldermead", "nelder-mead", "differential_evolution", "basinhopping", "dual_annealing", "shgo")
+_GLOBAL = {"basinhopping": optimise.basin_hopping, "dual_annealing": optimise.dual_annealing, "shgo": optimise.shgo}
 _NAMES = {"orientation": ("phi1", "Phi", "phi2"), "pc": ("pcx", "pcy", "pcz")}
 #: Farthest values that a search may take: Bunge angles in radians with 5 degrees to spare, and projection centres.
 _LEAST = {"orientation": np.deg2rad([-5.0, -5.0, -5.0]), "pc": np.array([-2.0, -2.0, -2.0])}
@@ -80,7 +81,9 @@ def refine_block(patterns: np.ndarray, q: np.ndarray, pc: np.ndarray, kinds: Seq
             step = np.repeat(np.array(initial_step, float), 3)
             if kinds[0] == "orientation":
                 step[:3] = np.deg2rad(step[:3])
-        x, value, count = optimise.nelder_mead(loss, x0, step, lower, upper, tol, tol, max_iter)
+        local = {"xtol": tol, "ftol": tol, "max_iter": max_iter}
+        search = _GLOBAL.get(method, optimise.nelder_mead)
+        x, value, count = search(loss, x0, step, lower, upper, **local, **({"seed": seed} if method in ("basinhopping", "dual_annealing") else {}))
     best = value.reshape(len(starts), n).argmin(axis=0)
     won = best * n + np.arange(n)
     turned, at = split(won, x[won])

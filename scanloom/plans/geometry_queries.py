@@ -342,3 +342,36 @@ def refine_orientation_projection_center(spark, d):
     seen, moved = _simulated(spark, d)
     out = refinement.refine_orientation_projection_center(seen.withColumns(moved), _SCREEN.with_pc([0.46, 0.71, 0.56]), _BANDS, trust_region=(3, 3, 3, 0.05, 0.05, 0.05))
     return out.select("idx", F.round("score", 3).alias("score"))
+
+
+def _turned_away(out, truth):
+    """Degrees between refined and true rotations."""
+    names = [F.col(n).alias(f"true_{n}") for n in "abcd"]
+    both = out.join(truth.select(F.col("idx").alias("at"), *names), F.col("idx") == F.col("at"))
+    dot = sum((F.col(n) * F.col(f"true_{n}") for n in "bcd"), F.col("a") * F.col("true_a"))
+    return both.withColumn("angle", F.degrees(2 * F.acos(F.least(F.abs(dot), F.lit(1.0)))))
+
+
+@query("SELECT vec_id AS idx, TRUE AS near FROM embeddings")
+def refined_orientations_are_near(spark, d):
+    """Orientations that start 0.8 degrees off end within 0.6 degrees of those that the patterns were simulated for."""
+    seen, moved = _simulated(spark, d)
+    out = refinement.refine_orientation(seen.withColumns(moved), _SCREEN, _BANDS, trust_region=(3, 3, 3))
+    return _turned_away(out, _quaternions(spark, d)).select("idx", (F.col("angle") < 0.6).alias("near"))
+
+
+@query("SELECT vec_id AS idx, 0.45::DOUBLE AS pcx, 0.72::DOUBLE AS pcy, 0.55::DOUBLE AS pcz FROM embeddings")
+def refined_projection_centres(spark, d):
+    """Projection centres that start 0.01 off, to three digits."""
+    seen, _ = _simulated(spark, d)
+    out = refinement.refine_projection_center(seen, _SCREEN.with_pc([0.46, 0.71, 0.56]), _BANDS, trust_region=(0.05, 0.05, 0.05))
+    return out.select("idx", *[F.round(c, 3).alias(c) for c in ("pcx", "pcy", "pcz")])
+
+
+@query("SELECT vec_id AS idx, TRUE AS near FROM embeddings")
+def refined_orientations_and_projection_centres_are_near(spark, d):
+    """Both at once: within 0.8 degrees and a hundredth of the detector."""
+    seen, moved = _simulated(spark, d)
+    out = refinement.refine_orientation_projection_center(seen.withColumns(moved), _SCREEN.with_pc([0.46, 0.71, 0.56]), _BANDS, trust_region=(3, 3, 3, 0.05, 0.05, 0.05))
+    off = F.greatest(*[F.abs(F.col(c) - v) for c, v in (("pcx", 0.45), ("pcy", 0.72), ("pcz", 0.55))])
+    return _turned_away(out, _quaternions(spark, d)).select("idx", ((F.col("angle") < 0.8) & (off < 0.01)).alias("near"))

@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 from scanloom.operators.detector import Detector
 from scanloom.scan import Scan
 from scanloom.sources import ebsp, edax, images, nordif, store
+from scanloom.sources.files import warn_if_short
 
 SOURCES = (nordif.NordifSource, edax.EdaxSource, ebsp.EbspSource)
 #: Formats by file extension.
@@ -39,6 +40,7 @@ def load(spark: SparkSession, path: str, format: str | None = None, **options) -
         raise ValueError(f"unknown format {name!r}, it is one of {sorted(known)}")
     options = {k: str(v) for k, v in options.items()}
     layout = known[name](options={"path": path, **options}).layout()
+    warn_if_short(path, layout)
     df = spark.read.format(name).options(**options).load(path)
     detector = background = None
     if "settings" in options:

@@ -122,13 +122,14 @@ class PatternSource(DataSource):
         return schema_of(self.layout().dtype)
 
     def reader(self, schema: StructType) -> PatternReader:
-        layout = self.layout()
-        if layout.positions is None:
-            with open_file(self.path) as file:
-                size = file.size()
-            if size < layout.offset + layout.n * (layout.stride or layout.n_bytes):
-                warnings.warn(f"{self.path} ends before its last pattern; what is missing is read as zeros", stacklevel=2)
-        return PatternReader(self.path, layout)
+        return PatternReader(self.path, self.layout())
+
+
+def warn_if_short(path: str, layout: Layout) -> None:
+    with open_file(path) as file:
+        size = file.size()
+    if layout.positions is None and size < layout.offset + layout.n * (layout.stride or layout.n_bytes):
+        warnings.warn(f"{path} ends before its last pattern; what is missing is read as zeros", stacklevel=3)
 
 
 def write_records(df: DataFrame, path: str, head: bytes, record: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], bytes], column: str = "pixels") -> int:

@@ -204,3 +204,16 @@ def test_decomposition(spark):
         out = np.array([r["pixels"] for r in decomposition.decomposition_model(df, 12, c).orderBy("idx").collect()])
         np.testing.assert_allclose(out, x, atol=1e-8)
     assert len(decomposition.loadings(df, found).first()["loadings"]) == 5
+
+
+@pytest.mark.parametrize("method", ["basinhopping", "dual_annealing", "shgo", "differential_evolution", "ln_neldermead"])
+def test_methods_of_refinement(method):
+    q = gq._some_rotations()[:6]
+    master, cosines = gq._BANDS.for_projection(None), kg.direction_cosines(gq._SCREEN.shape, gq._SCREEN.pc_flattened[0], gq._SCREEN.sample_to_detector)
+    turn = np.array([np.cos(0.007), np.sin(0.007), 0, 0])
+    start = kg.product(q, np.broadcast_to(turn, q.shape))
+    start = np.where(start[:, :1] < 0, -start, start)
+    pc = np.repeat(gq._SCREEN.pc_flattened, 6, axis=0)
+    out = refinement.refine_block(kg.project(master, q, cosines), start, pc, ["orientation"], master, gq._SCREEN.shape, gq._SCREEN.sample_to_detector, method=method, trust_region=(3, 3, 3))
+    angle = np.degrees(2 * np.arccos(np.clip(np.abs((q * out["q"]).sum(axis=1)), 0, 1)))
+    assert angle.max() < 0.8 and out["score"].min() > 0.99 and (out["num_evals"] > 0).all()

@@ -204,3 +204,12 @@ def test_virtual_imager_regions():
     assert imager.grid_shape == (5, 5) and imager.region((0, 0)) == (0, 2, 0, 2) and imager.region([(1, 1), (2, 3)]) == (2, 6, 2, 9)
     with pytest.raises(ValueError, match="grid"):
         VirtualImager((3, 3), (4, 1))
+
+
+def test_repeated_map_points_are_refused(spark):
+    rows = [(k, k // 3, k % 3, [float(v) for v in np.random.default_rng(k).random(9)]) for k in range(9)]
+    schema = "idx bigint, y int, x int, pixels array<double>"
+    fine = spark.createDataFrame(rows + [(10, None, 1, rows[0][3])], schema)
+    assert neighbours.average_neighbour_dot_product(fine, (3, 3)).count() == 9
+    with pytest.raises(Exception, match="several rows are at y=1, x=1"):
+        neighbours.average_neighbour_dot_product(spark.createDataFrame(rows + [(9, 1, 1, rows[0][3])], schema), (3, 3)).collect()

@@ -167,3 +167,18 @@ def test_quality_of_a_stream(spark, tmp_path):
     streaming.write_patterns(out, str(tmp_path / "out"), str(tmp_path / "state"), available_now=True).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() >= 4 and got.filter("n = 6").count() >= 4
+
+
+def test_a_table_of_offsets_is_read_in_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ebsp, "AT_ONCE", 2)
+    data = RNG.integers(0, 256, (7, 8, 9)).astype(np.uint8)
+    path = tmp_path / "a.ebsp"
+    path.write_bytes(ebsp_bytes(5, data, [6, 2, 1, 3, 5, 4, 0], nx=7))
+    assert ebsp.layout_of(str(path)).n == 7 and (read(load(spark, str(path))) == data.reshape(7, -1)).all()
+
+
+def test_a_file_that_ends_early_is_told(spark, tmp_path):
+    (tmp_path / "a.dat").write_bytes(bytes(range(30)))
+    with pytest.warns(UserWarning, match="ends before its last pattern"):
+        scan = load(spark, str(tmp_path / "a.dat"), ny=1, nx=3, rows=3, cols=4)
+        assert read(scan)[2].tolist() == [*range(24, 30), 0, 0, 0, 0, 0, 0]
