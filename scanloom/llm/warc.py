@@ -21,7 +21,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import bounded_batches, materialise, scratch_path
+from scanloom.llm.common import bounded_batches, join_groups, materialise, scratch_path
 
 #: Bytes of an archive before the next one is begun; bytes read at once.
 ARCHIVE_BYTES, READ = 32 << 20, 1 << 18
@@ -38,7 +38,9 @@ def sha1(payload: bytes) -> str:
 
 
 def record_id(page_id) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+    """Characters that would end a header or an id are written as in URLs."""
+    text = "" if page_id is None else str(page_id)
+    return f"<urn:page:{re.sub(r'[^!-*,-=?-~]|%', lambda m: ''.join(f'%{c:02X}' for c in m[0].encode()), text)}>"
 
 
 def record(page_id, url: str | None, payload: bytes, first_id: tuple | None = None) -> bytes:
@@ -220,9 +222,9 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = AR
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
     narrow = materialise(rows.select("page_id", "digest", F.length("payload").alias("n")), "payloads")
     shared = narrow.filter(F.col("n") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    shared = materialise(shared.select(F.col("digest").alias("same"), "first_id"), "shared")
+    shared = materialise(shared, "shared")
     # only ids of revisiting rows meet the pages again, so equal payloads never gather
-    again = narrow.join(shared, F.col("digest") == F.col("same")).filter("not page_id <=> first_id")
+    again = join_groups(narrow, shared, "digest", "copies", narrow.count()).filter("not page_id <=> first_id")
     again = materialise(again.select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "first_id").distinct(), "again")
     roles = rows.join(again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left")
     roles = roles.select("page_id", "url", "payload", "first_id", F.col("again_digest").isNotNull().alias("revisit"))
@@ -302,13 +304,17 @@ def page_records(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id")
     """Write archives of ``pages`` and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Bytes and digest are those of the full payload; a revisit's bytes come from the record that it refers to. One row per
-    row of ``pages``; null ids and null urls are kept; an empty table gives an empty result; other columns are ignored.
+    row of ``pages``; null ids and null urls are kept, and ids that repeat are that many records; an empty table gives an empty result; other columns are ignored.
     """
     kind = pages.schema[id_col].dataType
     read = materialise(read_archives(write_archives(pages, min_bytes, id_col=id_col)).filter("kind in ('response', 'revisit')"), "records")
-    id_of = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:page:(.*)>$", 1), F.lit("")).cast(kind)
+    id_of = lambda c: F.nullif(F.url_decode(F.regexp_extract(c, r"^<urn:page:(.*)>$", 1)), F.lit("")).cast(kind)
     first = read.filter("kind = 'response'").groupBy(F.col("record_id").alias("first_record"), F.col("payload_sha1").alias("first_sha1")).agg(F.max("payload_bytes").alias("first_bytes"))
-    rows = read.filter("kind = 'revisit'").join(first, (F.col("refers_to") == F.col("first_record")) & (F.col("payload_digest") == F.col("first_sha1")), "left")
+    # a page that very many others revisit: its group is known by the page and its size, and isn't gathered
+    again = read.filter("kind = 'revisit'").withColumn("to", F.concat_ws(" ", "refers_to", "payload_digest"))
+    sizes = again.groupBy("to").agg(F.count(F.lit(1)).alias("times"))
+    groups = materialise(sizes.join(first.withColumn("first_to", F.concat_ws(" ", "first_record", "first_sha1")), F.col("to") == F.col("first_to"), "left").select("to", "times", "first_bytes"), "revisited")
+    rows = join_groups(again, groups, "to", "times", again.count())
     revisits = rows.select(id_of("record_id").alias("page_id"), F.col("first_bytes").alias("payload_bytes"), "payload_digest", F.col("kind").alias("record_type"), id_of("refers_to").alias("refers_to"))
     responses = read.filter("kind = 'response'").select(id_of("record_id").alias("page_id"), "payload_bytes", F.col("payload_sha1").alias("payload_digest"), F.col("kind").alias("record_type"), F.lit(None).cast(kind).alias("refers_to"))
     return responses.unionByName(revisits)

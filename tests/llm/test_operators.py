@@ -125,6 +125,13 @@ def test_warc_round_trip(spark):
     assert warc.page_records(pages(spark, [])).count() == 0
 
 
+def test_warc_of_repeated_and_odd_ids(spark):
+    rows = [("a>b", "u", "one"), ("a>b", "u", "one"), ("new\r\nline", "u", "one"), ("é +%41", "u", "two"), ("", "u", "three"), (None, "u", "x" * 200_000)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = sorted((r["page_id"] or "", r["payload_bytes"], r["record_type"], r["refers_to"] or "") for r in warc.page_records(df).collect())
+    assert got == sorted([("a>b", 3, "response", ""), ("a>b", 3, "response", ""), ("new\r\nline", 3, "revisit", "a>b"), ("é +%41", 3, "response", ""), ("", 5, "response", ""), ("", 200_000, "response", "")])
+
+
 @pytest.mark.parametrize("packed", [True, False])
 def test_salvage_recovers_what_follows_damage(spark, tmp_path, packed):
     whole = [warc.record(k, f"u{k}", (f"page {k} " * 50).encode()) for k in range(6)]
