@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanloom.storage import materialise
+
 
 @dataclass(frozen=True)
 class Phase:
@@ -59,13 +61,15 @@ def merge_crystal_maps(maps: Sequence[DataFrame], mean_n_best: int = 1, greater_
     made unique: each map's are raised by one more than the distance between the greatest (raised) index of the map before
     and the least of its own. A point that a map lacks has no scores there.
 
-    One shuffle by the key, of one row per map and point.
+    One shuffle by the key, of one row per map and point. Maps with indices are written to the shared folder first.
     """
     sign = 1.0 if greater_is_better else -1.0
     with_indices = all(indices in m.columns for m in maps)
     with_rotations = all("rotations" in m.columns for m in maps)
     raises = [0] * len(maps)
     if with_indices:
+        # they are read twice: what made them, a search of a dictionary perhaps, runs once
+        maps = [materialise(m, "map") for m in maps]
         ends = [m.agg(F.max(F.array_max(indices)), F.min(F.array_min(indices))) for m in maps]
         found = {r[0]: (r[1], r[2]) for r in _union([e.toDF("hi", "lo").select(F.lit(k).alias("k"), "hi", "lo") for k, e in enumerate(ends)]).collect()}
         for k in range(1, len(maps)):

@@ -6,15 +6,17 @@ what ``relative`` rescaling and the mean pattern gather: a few numbers, or one p
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.functions import pixels as px
 from scanloom.kernels import images
 from scanloom.kernels.blocks import doubles, map_patterns
+from scanloom.storage import bounded_batches
 
 
 def _finish(p: Column, dtype_out: str | None) -> Column:
@@ -52,9 +54,24 @@ def normalize_intensity(df: DataFrame, num_std: float = 1, divide_by_square_root
 
 
 def mean_pattern(df: DataFrame, column: str = "pixels") -> DataFrame:
-    """One row with ``background``, the mean of all patterns. A task sends one row per pixel; null patterns don't count."""
-    sums = df.select(F.posexplode(column).alias("pixel", "v")).groupBy("pixel").agg(F.avg("v").alias("v"))
-    return sums.agg(F.transform(F.sort_array(F.collect_list(F.struct("pixel", "v"))), lambda s: s["v"]).alias("background"))
+    """One row with ``background``, the mean of all patterns. A task adds up its own and sends one pattern; null patterns don't
+    count. Without patterns it is null."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = None, 0
+        for b in batches:
+            lists = b.column(0).drop_null()
+            if len(lists):
+                block = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1).astype(float)
+                total = block.sum(axis=0) if total is None else total + block.sum(axis=0)
+                n += len(lists)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([n], pa.int64())], ["total", "n"])
+
+    bounded_batches(df.sparkSession)
+    parts = df.select(F.col(column).cast("array<double>")).mapInArrow(summed, "total array<double>, n bigint")
+    means = parts.select("n", F.posexplode("total").alias("pixel", "v")).groupBy("pixel").agg((F.sum("v") / F.sum("n")).alias("v"))
+    return means.agg(F.transform(F.sort_array(F.collect_list(F.struct("pixel", "v"))), lambda s: s["v"]).alias("background"))
 
 
 def remove_static_background(df: DataFrame, background: DataFrame | Sequence[float] | np.ndarray | None = None, operation: str = "subtract", scale_bg: bool = False, dtype_out: str | None = None, out_range: tuple[float, float] | None = None, column: str = "pixels") -> DataFrame:

@@ -302,9 +302,9 @@ def roi_is_not_rectangular(spark, d):
     return selection.roi_is_rectangular(patterns(spark, d).filter("phase_id < 5"), "y", "x")
 
 
-@query(f"WITH {P}, {PX}, g AS (SELECT CAST(a.i AS INTEGER) AS y, CAST(b.i AS INTEGER) AS x, CAST(k.i AS INTEGER) AS pixel FROM range(20) a(i), range(25) b(i), range(64) k(i)) SELECT g.y, g.x, g.pixel, {R('coalesce(v, 0.0)')} AS v FROM g LEFT JOIN (SELECT * FROM px WHERE idx % 3 <> 0) px ON g.y = px.y AND g.x = px.x AND g.pixel = px.pixel")
+@query(f"WITH {P}, {PX}, g AS (SELECT CAST(a.i AS INTEGER) AS y, CAST(b.i AS INTEGER) AS x, CAST(k.i AS INTEGER) AS pixel FROM (SELECT unnest(range(0, max(y) + 1)) AS i FROM p) a, (SELECT unnest(range(0, max(x) + 1)) AS i FROM p) b, range(64) k(i)) SELECT g.y, g.x, g.pixel, {R('coalesce(v, 0.0)')} AS v FROM g LEFT JOIN (SELECT * FROM px WHERE idx % 3 <> 0) px ON g.y = px.y AND g.x = px.x AND g.pixel = px.pixel")
 def fill_missing(spark, d):
-    """The SQL has the points of a 20 x 25 map; on larger tables all points of their own map are filled."""
+    """Points that aren't there, of the map that the table spans, get patterns of zeros."""
     df = patterns(spark, d)
     return long(selection.fill_missing(df.filter("idx % 3 <> 0"), selection.map_shape(df), 64), "y", "x")
 
