@@ -160,18 +160,31 @@ def orientation_similarity_map(xmap: DataFrame, n_best: int | None = None, norma
         lists = table.column("_indices").to_pylist()
         longest = n_best or max((len(v) for v in lists if v), default=0)
         sizes = list(range(longest, (from_n_best or longest) - 1, -1)) or [0]
-        where = np.full(table.num_rows, -1)
-        flat = grid.ravel()
-        where[flat[flat >= 0]] = np.flatnonzero(flat >= 0)
-        out = []
-        for h in home:
-            near = [int(flat[where[h] + dy * grid.shape[1] + dx]) for dy, dx in offsets]
-            near = [k for k in near if k >= 0 and lists[k] is not None]
-            if not near or lists[h] is None:
-                out.append(None)
-                continue
-            shared = [np.mean([len(set(lists[h][:n]) & set(lists[k][:n])) for k in near]) / (max(n, 1) if normalize else 1) for n in sizes]
-            out.append(shared)
+        there = np.array([v is not None for v in lists], bool)
+        # an absent index is unlike any other: its own place below zero
+        best = -1 - np.arange(table.num_rows * max(longest, 1), dtype=np.int64).reshape(table.num_rows, -1)
+        used = np.zeros(best.shape, bool)
+        for k, v in enumerate(lists):
+            n = min(len(v), longest) if v else 0
+            best[k, :n], used[k, :n] = v[:n] if n else [], True
+        rank = np.arange(best.shape[1])
+        again = ((best[:, :, None] == best[:, None, :]) & (rank[None, None, :] < rank[None, :, None])).any(axis=2)
+        at = _shifted(grid, table, home, reach, tile)
+        sums, count = np.zeros((len(home), len(rank) + 1)), np.zeros(len(home), int)
+        for dy, dx in offsets:
+            row = at(dy, dx)
+            ok = np.flatnonzero((row >= 0) & there[row] & there[home])
+            mine, other = home[ok], row[ok]
+            same = (best[mine][:, :, None] == best[other][:, None, :]) & used[mine][:, :, None] & used[other][:, None, :]
+            # an index is shared from the rank on at which both lists have it
+            when = np.where(same.any(axis=2) & ~again[mine], np.maximum(rank, same.argmax(axis=2)), len(rank))
+            shared = np.zeros((len(ok), len(rank) + 1))
+            np.add.at(shared, (np.repeat(np.arange(len(ok)), len(rank)), when.ravel()), 1)
+            sums[ok, 1:] += np.cumsum(shared, axis=1)[:, :-1]
+            count[ok] += 1
+        with np.errstate(invalid="ignore", divide="ignore"):
+            means = sums[:, [min(n, len(rank)) for n in sizes]] / count[:, None] / (np.maximum(sizes, 1) if normalize else 1)
+        out = [m.tolist() if c else None for m, c in zip(means, count, strict=True)]
         return table.take(pa.array(home)).drop_columns(["_indices"]).append_column("osm", pa.array(out, pa.list_(pa.float64())))
 
     out = map_tiles(narrow, reach, kernel, schema, maps, tile)
