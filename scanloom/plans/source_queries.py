@@ -188,3 +188,80 @@ def decomposition_model_file(spark, d):
     path = _path(spark, "model") + uuid.uuid4().hex
     save_decomposition_model(Scan(_bytes(spark, d), P_SHAPE, "uint8", _map_shape(spark, d)), path)
     return load(spark, path).df.select("idx", "y", "x", F.posexplode("pixels").alias("pixel", "_v")).select("idx", "y", "x", "pixel", F.round("_v").cast("int").alias("v"))
+
+
+# HDF5
+
+_CENTRED = f"{_BYTES}, c AS (SELECT avg(0.4::DOUBLE + x / 1000.0) AS pcx FROM p)"
+
+
+@query(f"{_CENTRED} SELECT idx, y, x, pixel, v, {R('pcx')} AS pcx, 5.0 AS tilt, 2 AS binning, 1.5 AS step, 63 AS background FROM b, c")
+def h5_file(spark, d):
+    """The own layout, with the detector, its projection centres for all points and a static background."""
+    path, nav = _path(spark, "a.h5"), _map_shape(spark, d)
+    pc = np.array([tuple(r) for r in projection_centres(spark, d).orderBy("idx").select("pcx", "pcy", "pcz").toLocalIterator()]).reshape(*nav, 3)
+    save(Scan(_bytes(spark, d), P_SHAPE, "uint8", nav, Detector(P_SHAPE, 70.0, 2, tilt=5.0, pc=pc), np.arange(64), step=(1.5, 1.5)), path)
+    scan = load(spark, path)
+    mean = round(float(scan.detector.pc_average[0]), 6)
+    last = int(np.ravel(scan.static_background)[-1])
+    return _long(scan.df, "idx", "y", "x").select("*", F.lit(mean).alias("pcx"), F.lit(float(scan.detector.tilt)).alias("tilt"), F.lit(scan.detector.binning).alias("binning"), F.lit(scan.step[0]).alias("step"), F.lit(last).alias("background"))
+
+
+def _h5(spark, d, tree_of, dtype: str = "uint8"):
+    from scanloom.sources import h5ebsd, hdf5
+
+    path, (ny, nx) = _path(spark, "a.h5"), _map_shape(spark, d)
+    h5ebsd.write_tree(_bytes(spark, d), path, tree_of(ny, nx, hdf5.Later((ny * nx, *P_SHAPE), dtype)), dtype)
+    return path
+
+
+def _maker(name: str, tree_of, tilt: float, binning: int = 1, pc: tuple[float, float, float] = (0.4, 0.7, 0.5)):
+    def f(spark, d):
+        scan = load(spark, _h5(spark, d, tree_of))
+        found = [round(float(v), 6) for v in scan.detector.pc_average]
+        return _long(scan.df, "idx", "y", "x").select("*", *[F.lit(v).alias(n) for n, v in zip(("pcx", "pcy", "pcz"), found, strict=True)], F.lit(round(float(scan.detector.tilt), 6)).alias("tilt"), F.lit(scan.detector.binning).alias("binning"), F.lit(float(scan.step[1])).alias("step_x"))
+
+    f.__name__ = f"h5_file_{name}"
+    query(f"{_BYTES} SELECT idx, y, x, pixel, v, {pc[0]}::DOUBLE AS pcx, {pc[1]}::DOUBLE AS pcy, {pc[2]}::DOUBLE AS pcz, {tilt}::DOUBLE AS tilt, {binning} AS binning, 0.5::DOUBLE AS step_x FROM b")(f)
+
+
+_maker("edax", lambda ny, nx, later: {"Manufacturer": "EDAX", "Version": "7", "Scan 1": {"EBSD": {"Data": {"Pattern": later}, "Header": {"Grid Type": "SqrGrid", "nRows": ny, "nColumns": nx, "Pattern Height": 8, "Pattern Width": 8, "Step X": 0.5, "Step Y": 0.25, "Camera Elevation Angle": 5.0, "Pattern Center Calibration": {"x-star": 0.4, "y-star": 0.3, "z-star": 0.5}}}}}, 5.0)
+_maker("oxford", lambda ny, nx, later: {"Manufacturer": "Oxford Instruments", "Format Version": "7.0", "1": {"EBSD": {"Data": {"Processed Patterns": later, "Pattern Center X": np.full(ny * nx, 0.4), "Pattern Center Y": np.full(ny * nx, 0.3), "Detector Distance": np.full(ny * nx, 0.5)}, "Header": {"Y Cells": ny, "X Cells": nx, "Pattern Height": 8, "Pattern Width": 8, "X Step": 0.5, "Y Step": 0.25, "Tilt Angle": np.deg2rad(70.0), "Detector Orientation Euler": np.deg2rad([0.0, 95.0, 0.0]), "Camera Mode": "Speed 3 (156x88 px)"}}}}, 5.0, 8)
+
+
+@query(f"{_BYTES}, m AS (SELECT max(y) + 1 AS ny FROM p) SELECT CAST((ny - 1 - y) * 25 + 24 - x AS BIGINT) AS idx, CAST(ny - 1 - y AS INTEGER) AS y, CAST(24 - x AS INTEGER) AS x, pixel, v, 35.0 AS px_size FROM b, m")
+def h5_file_bruker(spark, d):
+    """Patterns are stored in another order than that of the map: here the last point is first."""
+    n = lambda ny, nx: np.arange(ny * nx)[::-1]
+    tree = lambda ny, nx, later: {"Manufacturer": "Bruker Nano", "Version": "2", "Scan 0": {"EBSD": {"Data": {"RawPatterns": later, "PCX": np.full(ny * nx, 0.4)}, "SEM": {"IY": n(ny, nx) // nx + 3, "IX": n(ny, nx) % nx + 1}, "Header": {"Grid Type": "isometric", "NROWS": ny, "NCOLS": nx, "PatternHeight": 8, "PatternWidth": 8, "XSTEP": 1.5, "YSTEP": 1.5, "DetectorFullHeightMicrons": 28000.0, "UnClippedPatternHeight": 800}}}}
+    scan = load(spark, _h5(spark, d, tree))
+    return _long(scan.df, "idx", "y", "x").withColumn("px_size", F.lit(float(scan.detector.px_size)))
+
+
+@query(f"{_BYTES} SELECT idx, pixel, v, {R('idx * 0.013::DOUBLE')} AS phi1 FROM b")
+def h5_file_simulated(spark, d):
+    """A dictionary of simulated patterns, with the angles that each was simulated for."""
+    from scanloom.sources import h5ebsd
+
+    angles = lambda n: np.column_stack([np.arange(n) * 0.013, np.full(n, 0.1), np.zeros(n)])
+    path = _h5(spark, d, lambda ny, nx, later: {"EMheader": {"EBSD": {"ProgramName": "EMEBSD.f90"}}, "NMLparameters": {"EBSDNameList": {"numsx": 8, "numsy": 8, "delta": 70.0, "energymax": 20.0}}, "EMData": {"EBSD": {"EBSDPatterns": later, "EulerAngles": angles(ny * nx), "xtalname": "ni.xtal"}}})
+    found = h5ebsd.find(path)
+    own = spark.createDataFrame([(k, float(a)) for k, a in enumerate(found.angles[:, 0])], "idx bigint, phi1 double")
+    return _long(load(spark, path).df, "idx").join(own, "idx").withColumn("phi1", r6("phi1"))
+
+
+@query(f"SELECT CAST(e.i AS BIGINT) AS e, CAST(a.i AS BIGINT) AS r, CAST(b.i AS BIGINT) AS c, {R('(e.i + 1) * a.i + 0.5 * b.i')} AS stereographic, {R('2 * (e.i + 1) * a.i + b.i + 3')} AS lambert_lower, 11.0 + e.i AS energy FROM range(2) e(i), range(7) a(i), range(7) b(i)")
+def h5_master_pattern(spark, d):
+    """Simulated master patterns of two of three energies: a stereographic hemisphere, and a Lambert one of two sites."""
+    from scanloom.sources import h5ebsd, hdf5
+
+    e, r, c = np.indices((3, 7, 7)).astype(float)
+    up = e * r + 0.5 * c  # the first energy is left out
+    site = np.stack([e * r + 0.5 * c, e * r + 0.5 * c + 3])
+    path = _path(spark, "master.h5")
+    _put(path, hdf5.file_bytes({"EMData": {"EBSDmaster": {"EkeVs": np.array([10.0, 11.0, 12.0]), "masterSPNH": up[:, ::-1].copy(), "mLPSH": site, "numset": 2}}, "CrystalData": {"Source": "ni"}}))
+    s = h5ebsd.read_master_pattern(path, energy=(11, 12))
+    low = h5ebsd.read_master_pattern(path, "lambert", "lower", energy=(11, 12))
+    k = [v.ravel().tolist() for v in np.indices(s.upper.shape)]
+    rows = zip(*k, s.upper.ravel().tolist(), low.lower.ravel().tolist(), [s.energies[i] for i in k[0]], strict=True)
+    return spark.createDataFrame([(a, b, x, float(u), float(v), float(w)) for a, b, x, u, v, w in rows], "e bigint, r bigint, c bigint, stereographic double, lambert_lower double, energy double").select("e", "r", "c", r6("stereographic").alias("stereographic"), r6("lambert_lower").alias("lambert_lower"), "energy")

@@ -7,13 +7,12 @@ from pyspark.sql import SparkSession
 
 from scanloom.operators.detector import Detector
 from scanloom.scan import Scan
-from scanloom.sources import ebsp, edax, images, nordif, store
+from scanloom.sources import ebsp, edax, h5ebsd, images, nordif, store
 from scanloom.sources.files import warn_if_short
 
-SOURCES = (nordif.NordifSource, edax.EdaxSource, ebsp.EbspSource)
+SOURCES = (nordif.NordifSource, edax.EdaxSource, ebsp.EbspSource, h5ebsd.H5Source)
 #: Formats by file extension.
-EXTENSIONS = {"dat": "nordif", "up1": "edax_up", "up2": "edax_up", "ebsp": "oxford_ebsp"}
-HDF5 = ("h5", "hdf5", "h5ebsd", "h5oina")
+EXTENSIONS = {"dat": "nordif", "up1": "edax_up", "up2": "edax_up", "ebsp": "oxford_ebsp", "h5": "h5ebsd", "hdf5": "h5ebsd", "h5ebsd": "h5ebsd", "h5oina": "h5ebsd"}
 
 
 def register(spark: SparkSession) -> None:
@@ -26,8 +25,6 @@ def load(spark: SparkSession, path: str, format: str | None = None, **options) -
     """A scan from a file or a folder: by extension, a folder of images, or a store of scans (``scan_id`` picks one)."""
     suffix = path.rstrip("/").rsplit("/", 1)[-1].rpartition(".")[2].lower() if "." in path.rsplit("/", 1)[-1] else ""
     name = format or EXTENSIONS.get(suffix)
-    if name is None and suffix in HDF5:
-        raise ImportError("HDF5 files need h5py, which isn't there; write them to a store of Parquet tables first")
     if name == "images" or (name is None and options.get("pattern")):
         df = images.read_directory(spark, path, **options)
         shape = df.select("rows", "cols").first()
@@ -43,6 +40,9 @@ def load(spark: SparkSession, path: str, format: str | None = None, **options) -
     warn_if_short(path, layout)
     df = spark.read.format(name).options(**options).load(path)
     detector = background = None
+    if name == "h5ebsd":
+        found = h5ebsd.find(path, options.get("scan"))
+        detector, background = found.detector, found.static_background
     if "settings" in options:
         detector = Detector(**nordif.read_settings(options["settings"]).detector())
     if name == "nordif":
@@ -56,7 +56,7 @@ def _exists(path: str) -> bool:
 
 
 def save(scan: Scan, path: str, scan_id: str = "1", overwrite: bool | None = None) -> bool:
-    """To a raw file of 8-bit patterns if the path ends in .dat, to an .up1, .up2 or .ebsp file, else to a store of scans.
+    """To a raw file of 8-bit patterns if the path ends in .dat, to an .up1, .up2, .ebsp or .h5 file, else to a store of scans.
 
     Folders that are missing are made. A file that is there is replaced if ``overwrite`` is true, kept if it is false, and
     otherwise an error. Whether something was written.
@@ -71,6 +71,8 @@ def save(scan: Scan, path: str, scan_id: str = "1", overwrite: bool | None = Non
         return False
     if suffix == "dat":
         nordif.write_nordif(scan.df, path)
+    elif EXTENSIONS[suffix] == "h5ebsd":
+        h5ebsd.write_h5(scan.df, path, scan.shape, scan.map_shape(), scan.dtype, scan.detector, scan.step, scan.static_background, scan_id if scan_id != "1" else "Scan 1")
     elif suffix == "ebsp":
         ebsp.write_ebsp(scan.df, path, scan.shape, scan.df.count(), scan.step[1], scan.dtype)
     else:

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import ArrayType, IntegerType, LongType, ShortType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegerType, LongType, ShortType, StructField, StructType
 
 from scanloom.storage import scratch_path
 
@@ -64,9 +64,17 @@ class Layout:
         return self.offset + np.arange(first, last, dtype=np.int64) * (self.stride or self.n_bytes)
 
 
+def element_of(dtype: str) -> tuple[DataType, pa.DataType]:
+    """What a pixel is in a table, so that no value of ``dtype`` is lost."""
+    kind = np.dtype(dtype)
+    if kind.kind == "f":
+        return DoubleType(), pa.float64()
+    wide = kind.itemsize + (kind.kind == "u")
+    return (ShortType(), pa.int16()) if wide <= 2 else (IntegerType(), pa.int32()) if wide <= 4 else (LongType(), pa.int64())
+
+
 def schema_of(dtype: str) -> StructType:
-    element = ShortType() if np.dtype(dtype).itemsize == 1 else IntegerType()
-    return StructType([StructField("idx", LongType()), StructField("y", IntegerType()), StructField("x", IntegerType()), StructField("pixels", ArrayType(element))])
+    return StructType([StructField("idx", LongType()), StructField("y", IntegerType()), StructField("x", IntegerType()), StructField("pixels", ArrayType(element_of(dtype)[0]))])
 
 
 class Range(InputPartition):
@@ -85,7 +93,7 @@ class PatternReader(DataSourceReader):
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         lay = self.layout
-        kind = pa.int16() if np.dtype(lay.dtype).itemsize == 1 else pa.int32()
+        kind = element_of(lay.dtype)[1]
         there = np.flatnonzero(partition.starts > 0) if lay.positions is not None else np.arange(len(partition.starts))
         size = lay.shape[0] * lay.shape[1]
         with open_file(self.path) as file:
@@ -103,7 +111,7 @@ class PatternReader(DataSourceReader):
                         raw = np.frombuffer(file.read(lay.n_bytes), np.uint8)
                         block[i, : len(raw)] = raw
                 idx = rows + partition.first
-                values = block.view(lay.dtype).reshape(-1)
+                values = block.view(lay.dtype).reshape(-1).astype(np.dtype(lay.dtype).newbyteorder("="))
                 pixels = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, size), pa.int32()), pa.array(values).cast(kind))
                 yield pa.RecordBatch.from_arrays([pa.array(idx, pa.int64()), pa.array((idx // lay.nx).astype(np.int32)), pa.array((idx % lay.nx).astype(np.int32)), pixels], ["idx", "y", "x", "pixels"])
 

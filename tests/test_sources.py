@@ -1,5 +1,6 @@
 """Files written here and read back, the store of scans, and streams."""
 
+import io
 import struct
 import zlib
 
@@ -9,7 +10,7 @@ import pytest
 from scanloom import streaming
 from scanloom.operators.detector import Detector
 from scanloom.scan import Scan
-from scanloom.sources import detector_text, ebsp, images, load, nordif, save, store
+from scanloom.sources import detector_text, ebsp, h5ebsd, hdf5, images, load, nordif, save, store
 
 RNG = np.random.default_rng(4)
 
@@ -149,7 +150,8 @@ def test_store(spark, tmp_path):
 
 
 def test_what_cant_be_read(spark, tmp_path):
-    with pytest.raises(ImportError, match="h5py"):
+    (tmp_path / "a.h5").write_bytes(b"no signature" * 20)
+    with pytest.raises(ValueError, match="not an HDF5 file"):
         load(spark, str(tmp_path / "a.h5"))
     with pytest.raises(ValueError, match="format"):
         load(spark, str(tmp_path / "a.bin"), "unknown")
@@ -182,3 +184,60 @@ def test_a_file_that_ends_early_is_told(spark, tmp_path):
     with pytest.warns(UserWarning, match="ends before its last pattern"):
         scan = load(spark, str(tmp_path / "a.dat"), ny=1, nx=3, rows=3, cols=4)
         assert read(scan)[2].tolist() == [*range(24, 30), 0, 0, 0, 0, 0, 0]
+
+
+def chunked(data, chunk, shuffle, at):
+    """A dataset in deflated chunks with a tree of two levels, to be put at byte ``at``; and where its header is."""
+    out, leaves = bytearray(), []
+    put = lambda b: (out.extend(b), at + len(out) - len(b))[1]
+    rank, size = data.ndim + 1, data.dtype.itemsize
+    for place in np.ndindex(*[-(-s // c) for s, c in zip(data.shape, chunk, strict=True)]):
+        start = [p * c for p, c in zip(place, chunk, strict=True)]
+        block = np.zeros(chunk, data.dtype)
+        part = data[tuple(slice(p, p + c) for p, c in zip(start, chunk, strict=True))]
+        block[tuple(slice(0, n) for n in part.shape)] = part
+        raw = block.tobytes()
+        raw = zlib.compress(np.frombuffer(raw, np.uint8).reshape(-1, size).T.tobytes() if shuffle else raw)
+        leaves.append((start, put(raw), len(raw)))
+    key = lambda start, n: struct.pack(f"<II{rank}Q", n, 0, *start, 0)
+    node = lambda level, rows: b"TREE" + struct.pack("<BBHQQ", 1, level, len(rows), 2**64 - 1, 2**64 - 1) + b"".join(key(s, n) + struct.pack("<Q", a) for s, a, n in rows) + key([0] * data.ndim, 0)
+    halves = [(leaves[k][0], put(node(0, leaves[k : k + 3])), 0) for k in range(0, len(leaves), 3)]
+    tree = put(node(1, halves))
+    space = struct.pack(f"<BBBB4x{data.ndim}Q", 1, data.ndim, 0, 0, *data.shape)
+    layout = struct.pack(f"<BBBQ{rank}I", 3, 2, rank, tree, *chunk, size)
+    filters = [(2, [size])] * shuffle + [(1, [4])]
+    pipeline = struct.pack("<BB6x", 1, len(filters)) + b"".join(struct.pack("<HHHHII", i, 0, 0, 1, v[0], 0) for i, v in filters)
+    header = put(hdf5._header([(1, space), (3, hdf5._type_message(data.dtype)), (11, pipeline), (8, layout)]))
+    return bytes(out), header
+
+
+@pytest.mark.parametrize("shuffle", [False, True])
+def test_h5_chunks(spark, tmp_path, shuffle):
+    """Patterns in deflated chunks, the last of them partly outside, as a scan."""
+    data = RNG.integers(0, 60_000, (6, 4, 5)).astype("<u2")
+    header = {"n_rows": 2, "n_columns": 3, "pattern_height": 4, "pattern_width": 5}
+    # the file is made with a dataset in one piece, whose header is then replaced by that of the chunks
+    head = hdf5.file_bytes({"manufacturer": "x", "Scan 1": {"EBSD": {"Header": header, "Data": {"patterns": np.zeros(1, np.uint8)}}}})
+    old = hdf5.File(io.BytesIO(head)).address("Scan 1/EBSD/Data/patterns")
+    body, new = chunked(data, (4, 4, 5), shuffle, len(head))
+    raw = bytearray(head + body)
+    k = raw.index(struct.pack("<Q", old))
+    raw[k : k + 8] = struct.pack("<Q", new)
+    (tmp_path / "a.h5").write_bytes(raw)
+    scan = load(spark, str(tmp_path / "a.h5"))
+    assert scan.map_shape() == (2, 3) and scan.shape == (4, 5) and (read(scan) == data.reshape(6, -1)).all()
+    file = hdf5.File(io.BytesIO(bytes(raw)))
+    assert (file.value(file.dataset(new)) == data).all()
+
+
+def test_h5_values():
+    tree = {"text": "né", "group": {"n": -3, "x": 2.5, "a": np.arange(12.0).reshape(3, 4), "b": np.arange(5, dtype=np.int16), "empty": {}}} | {f"k{n}": n for n in range(70)}
+    back = hdf5.File(io.BytesIO(hdf5.file_bytes(tree))).read()
+    assert back["text"] == "né" and back["group"]["n"] == -3 and back["group"]["x"] == 2.5 and back["k69"] == 69 and back["group"]["empty"] == {}
+    assert (back["group"]["a"] == tree["group"]["a"]).all() and back["group"]["b"].tolist() == [0, 1, 2, 3, 4]
+    with pytest.raises(ValueError, match="not an HDF5 file"):
+        hdf5.File(io.BytesIO(b"x" * 200))
+
+
+def test_binning_of_camera_modes():
+    assert [h5ebsd.binning_of(m) for m in ("2x2 (622x512 px)", "Speed 3 (156x88 px)", "Resolution (1244x1024 px)", "odd", "")] == [2, 8, 1, None, None]
