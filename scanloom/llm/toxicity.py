@@ -29,8 +29,9 @@ WINDOW = 64
 ROWS_PER_CLASS = 4000
 #: Bytes of the dictionaries, and segment and match lengths of their training.
 ORDINARY, TOXIC, SEGMENT, MATCH = 8192, 1024, 24, 6
-#: Bytes of a gram, toxic documents that it needs, and its z-score; bits of its hash.
-GRAM, LEAST, Z, BITS = 7, 5, 4.0, 22
+#: Bytes of a gram and bits of its hash; toxic documents that it needs, and its z-score, at least; and both as the sample
+#: grows, as a share of its toxic documents and times the square root of their number.
+GRAM, BITS, LEAST, Z, SHARE, Z_GROWS = 7, 22, 5, 4.0, 0.01, 0.19
 #: Windows of ordinary text that the dictionary is trained on at most, evenly over the sample's texts.
 TRAINING_WINDOWS = 200_000
 #: Bytes saved from which on a window counts, one feature for each.
@@ -67,7 +68,7 @@ def significant(counts: list[np.ndarray], n: list[int]) -> np.ndarray:
     """True for grams that significantly more toxic documents have, from how many documents of each class have each gram."""
     rates = [np.log((c + 0.5) / (k + 0.5 - np.minimum(c, k))) for c, k in zip(counts, n, strict=True)]
     z = (rates[1] - rates[0]) / np.sqrt(1 / (counts[0] + 0.5) + 1 / (counts[1] + 0.5))
-    return (z >= Z) & (counts[1] >= LEAST)
+    return (z >= max(Z, Z_GROWS * np.sqrt(n[1]))) & (counts[1] >= max(LEAST, SHARE * n[1]))
 
 
 def stretches(text: bytes, wanted: np.ndarray) -> list[bytes]:
