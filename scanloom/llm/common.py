@@ -83,3 +83,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows:
     hot = groups.filter(F.col(size) >= least)
     cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.filter(F.col(size) < least), key)
     return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
+#: Rows of a few numbers that are broadcast at most.
+BROADCAST_ROWS = 1 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A materialised table of a few numbers a row: to be broadcast if it has BROADCAST_ROWS rows or fewer, counted here;
+    otherwise a join with it shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from scanloom.llm.arrays import LOW_BYTES, WORD_BYTES, hash_runs, runs
-from scanloom.llm.common import bounded_batches, free_name, materialise, scratch_path
+from scanloom.llm.common import bounded_batches, free_name, materialise, scratch_path, small
 
 #: Words of a window and of a block, bytes tokenised at once, bytes of benchmark text in a pack, candidates at once.
 WINDOW, BLOCK_WORDS, CHUNK, PACK_BYTES, AT_ONCE = 10, 1 << 20, 1 << 20, 8 << 20, 1 << 20
@@ -266,4 +266,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     hit_id, hit_hash = free_name(docs, "hit_id"), free_name(docs, "hit_hash")
     hit = matches(build_index(docs, id_col, text_col), pack_benchmark(benchmark, window)).filter("n_hit > 0")
     hit = materialise(hit.select(F.col("doc_id").alias(hit_id), F.col("text_hash").alias(hit_hash)).distinct(), "hit")
-    return docs.join(hit, F.col(id_col).eqNullSafe(F.col(hit_id)) & (F.xxhash64(F.col(text_col)) == F.col(hit_hash)), "left_anti")
+    return docs.join(small(hit), F.col(id_col).eqNullSafe(F.col(hit_id)) & (F.xxhash64(F.col(text_col)) == F.col(hit_hash)), "left_anti")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import LOWER, UPPER, bounded_batches, free_name, join_groups, materialise
+from scanloom.llm.common import LOWER, UPPER, bounded_batches, free_name, join_groups, materialise, small
 from scanloom.llm.components import components
 
 #: Points at an anchor before it is cut into parts.
@@ -218,8 +218,10 @@ def drop_near_copies(docs: DataFrame, t: int = 4, id_col: str = "doc_id", text_c
     names = [F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)]
     full = docs.withColumn(own, F.xxhash64(F.col(text_col)))
     same = F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_hash))
-    kept = full.join(judged.filter("not stays").select(*names).distinct(), same, "left_anti")
+    gone = materialise(judged.filter("not stays").select(*names).distinct(), "gone")
+    kept = full.join(small(gone), same, "left_anti")
     again = materialise(judged.filter("stays").groupBy("doc_id", "text_hash").count().filter("count > 1").select(*names), "again")
     if not again.isEmpty():
+        again = small(again)
         kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col, own]))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
