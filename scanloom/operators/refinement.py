@@ -51,6 +51,11 @@ def _prepared(patterns: np.ndarray) -> np.ndarray:
         return p / np.linalg.norm(p, axis=1, keepdims=True)
 
 
+def correlation(patterns: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Normalised cross-correlation of patterns (n, pixels) with one other pattern, or with as many."""
+    return (_prepared(patterns) * _prepared(np.atleast_2d(other))).sum(axis=1)
+
+
 def refine_block(patterns: np.ndarray, q: np.ndarray, pc: np.ndarray, kinds: Sequence[str], master: np.ndarray, shape: tuple[int, int], to_detector: np.ndarray, kept: np.ndarray | None = None, method: str = "minimize", trust_region: Sequence[float] | None = None, initial_step: Sequence[float] | None = None, tol: float = 1e-4, max_iter: int | None = None, ops: np.ndarray | None = None, seed: int = 0) -> dict[str, np.ndarray]:
     """Scores (NCC), refined quaternions and projection centres, evaluations and the pseudo-symmetry operation that won, 0
     for none, of patterns (n, pixels)."""

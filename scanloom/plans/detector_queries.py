@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import logging
 import math
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from scanloom.operators import calibration, crystal_maps, indexing, virtual_imaging
+from scanloom import messages
+from scanloom.kernels.blocks import map_patterns
+from scanloom.operators import calibration, crystal_maps, indexing, refinement, virtual_imaging
 from scanloom.operators.detector import Detector
 from scanloom.operators.master_pattern import MasterPattern
 from scanloom.plans.geometry_queries import DETECTOR, GN, PC, SHAPE
@@ -243,3 +248,34 @@ def virtual_detector_regions(spark, d):
     """The tiles of a screen of 48 x 60 pixels."""
     imager = virtual_imaging.VirtualImager(SHAPE, (5, 4))
     return spark.createDataFrame([(r, c, *imager.region((r, c))) for r in range(5) for c in range(4)], "r bigint, c bigint, top bigint, bottom bigint, left_ bigint, right_ bigint")
+
+
+# Single patterns
+
+_OTHER = np.cos(np.arange(64) * 0.37)
+
+
+@query(f"WITH {P}, {PX}, o AS (SELECT idx, corr(v, cos(pixel * 0.37::DOUBLE)) AS c FROM px GROUP BY idx) SELECT idx, {R('c')} AS ncc FROM o")
+def pattern_correlation(spark, d):
+    """Each pattern against one other, as refinement compares them."""
+    out = StructType([StructField("ncc", DoubleType())])
+    return map_patterns(patterns(spark, d), lambda b: {"ncc": refinement.correlation(b, _OTHER)}, out, 64).select("idx", r6("ncc").alias("ncc"))
+
+
+@query("SELECT 'DEBUG' AS level, 10 AS number UNION ALL SELECT 'WARNING', 30")
+def log_levels(spark, d):
+    """The level of the engine's messages."""
+    rows = []
+    for level in ("DEBUG", "WARNING"):
+        messages.set_log_level(level)
+        rows.append((level, logging.getLogger("scanloom").level))
+    return spark.createDataFrame(rows, "level string, number int")
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT 'patterns' AS what, n::BIGINT AS number FROM n UNION ALL SELECT 'dictionary', n FROM n UNION ALL SELECT 'comparisons', n * n FROM n UNION ALL SELECT 'kept', 20")
+def dictionary_indexing_message(spark, d):
+    """What is said before patterns are matched."""
+    n = patterns(spark, d).count()
+    text = messages.indexing_message(n, n, 64, 20, "NormalizedCrossCorrelation")
+    found = {k: int(v.replace(" ", "")) for k, v in re.findall(r"^(\w+): ([\d ]+)$", text, re.M)}
+    return spark.createDataFrame([(k, found[k]) for k in ("patterns", "dictionary", "comparisons", "kept")], "what string, number bigint")

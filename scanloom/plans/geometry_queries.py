@@ -252,6 +252,24 @@ def bands_on_detector(spark, d):
     return out.select("idx", "h", "k", "l", *_named("hesse x0 y0 x1 y1", [F.col(c) for c in ("hesse", "x0", "y0", "x1", "y1")]))
 
 
+_B = [float(v) for v in DETECTOR.gnomonic_bounds.reshape(-1, 4)[0]]
+
+
+def _pixel(gx: str, gy: str) -> tuple[str, str]:
+    return f"({gx} - ({_B[0]!r}::DOUBLE)) * 60 / ({_B[1] - _B[0]!r}::DOUBLE)", f"(({_B[3]!r}::DOUBLE) - {gy}) * 48 / ({_B[3] - _B[2]!r}::DOUBLE)"
+
+
+_ENDS = {n: p for k, s in enumerate("+-") for n, p in zip((f"x{k}", f"y{k}"), _pixel(f"({_RMAX!r}::DOUBLE) * cos(az {s} al)", f"({_RMAX!r}::DOUBLE) * sin(az {s} al)"), strict=True)}
+
+
+@query(f"""WITH {P}, {ANGLES}, {QUATERNION}, {_HKL}, {_UNIT}, {_seen('u', 'h, k, l', 'ux', 'uy', 'uz')}, e AS (SELECT *, dz / sqrt(dx*dx + dy*dy) AS hesse FROM o WHERE dz > 0), z AS (SELECT *, atan2(dy, dx) - pi() AS az, acos(hesse / ({_RMAX!r}::DOUBLE)) AS al FROM e WHERE abs(hesse) < ({_RMAX!r}::DOUBLE))
+SELECT idx, h, k, l, {_rounded(**_ENDS)} FROM z""")
+def band_lines_in_pixels(spark, d):
+    """The ends of bands' centre lines as pixels (column, row), for drawing."""
+    out = simulation.to_pixels(simulation.bands_on_detector(_quaternions(spark, d), REFLECTORS, DETECTOR), DETECTOR, (("x0", "y0"), ("x1", "y1")))
+    return out.select("idx", "h", "k", "l", *_named("x0 y0 x1 y1", [F.col(c) for c in ("x0", "y0", "x1", "y1")]))
+
+
 _XR, _YR = DETECTOR.x_range[0], DETECTOR.y_range[0]
 _SX, _SY = float(DETECTOR.x_scale[0]), float(DETECTOR.y_scale[0])
 
