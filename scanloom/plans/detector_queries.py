@@ -61,7 +61,7 @@ f1 AS (SELECT cos({_B!r}::DOUBLE) * x1 + sin({_B!r}::DOUBLE) * x3 AS x1, cos({_B
 f2 AS (SELECT cos({_C!r}::DOUBLE) * x1 - sin({_C!r}::DOUBLE) * x2 AS x1, cos({_C!r}::DOUBLE) * y1 - sin({_C!r}::DOUBLE) * y2 AS y1, cos({_C!r}::DOUBLE) * z1 - sin({_C!r}::DOUBLE) * z2 AS z1, cos({_C!r}::DOUBLE) * x2 + sin({_C!r}::DOUBLE) * x1 AS x2, cos({_C!r}::DOUBLE) * y2 + sin({_C!r}::DOUBLE) * y1 AS y2, cos({_C!r}::DOUBLE) * z2 + sin({_C!r}::DOUBLE) * z1 AS z2, x3, y3, z3 FROM f1)"""
 
 
-@query(f"WITH {P}, {_AXES} SELECT idx, {R('p[1] * x1 + p[2] * y1 + p[3] * z1')} AS x, {R('p[1] * x2 + p[2] * y2 + p[3] * z2')} AS y, {R('p[1] * x3 + p[2] * y3 + p[3] * z3')} AS z, -2.0 AS phi1, 95.0 AS Phi, -1.0 AS phi2 FROM p, f2")
+@query(f"WITH {P}, {_AXES} SELECT idx, {R('p[1] * x1 + p[2] * y1 + p[3] * z1')} AS x, {R('p[1] * x2 + p[2] * y2 + p[3] * z2')} AS y, {R('p[1] * x3 + p[2] * y3 + p[3] * z3')} AS z, -2.0::DOUBLE AS phi1, 95.0::DOUBLE AS Phi, -1.0::DOUBLE AS phi2 FROM p, f2")
 def sample_to_detector(spark, d):
     """Vectors of the sample seen in the detector's frame, and the detector's Euler angles."""
     m = DETECTOR.sample_to_detector
@@ -70,7 +70,7 @@ def sample_to_detector(spark, d):
     return patterns(spark, d).select("idx", *[r6(c).alias(n) for c, n in zip(turned, "xyz", strict=True)], *[F.lit(float(a)).alias(n) for a, n in zip(DETECTOR.euler, ("phi1", "Phi", "phi2"), strict=True)])
 
 
-@query(f"WITH {P}, {PC}, {GN}, c(k, i, j) AS (VALUES (0, 0.0, 0.0), (1, 24.0, 30.0), (2, 47.5, 11.25)) SELECT idx, k AS k, {R('y1 - i * (y1 - y0) / 48')} AS gy, {R('x0 + j * (x1 - x0) / 60')} AS gx, {R('i')} AS back_row, {R('j')} AS back_col FROM g, c".replace("k AS k", "CAST(k AS BIGINT) AS k"))
+@query(f"WITH {P}, {PC}, {GN}, c(k, i, j) AS (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE), (1, 24.0::DOUBLE, 30.0::DOUBLE), (2, 47.5::DOUBLE, 11.25::DOUBLE)) SELECT idx, k AS k, {R('y1 - i * (y1 - y0) / 48')} AS gy, {R('x0 + j * (x1 - x0) / 60')} AS gx, {R('i')} AS back_row, {R('j')} AS back_col FROM g, c".replace("k AS k", "CAST(k AS BIGINT) AS k"))
 def detector_coordinates(spark, d):
     """Pixels of the detector as gnomonic coordinates for every projection centre, and back again."""
     idx, pc = _centres(spark, d)
@@ -121,7 +121,7 @@ def estimate_xtilt_robust(spark, d):
 
 # Scans
 
-@query(f"WITH {P}, {PC} SELECT CAST((y - 2) * 6 + x - 3 AS BIGINT) AS k, {R('pcx')} AS pcx, {R('pcy')} AS pcy, {R('pcz')} AS pcz, CAST(idx AS BIGINT) AS idx, 1.5 AS step FROM pc WHERE y BETWEEN 2 AND 5 AND x BETWEEN 3 AND 8")
+@query(f"WITH {P}, {PC} SELECT CAST((y - 2) * 6 + x - 3 AS BIGINT) AS k, {R('pcx')} AS pcx, {R('pcy')} AS pcy, {R('pcz')} AS pcz, CAST(idx AS BIGINT) AS idx, 1.5::DOUBLE AS step FROM pc WHERE y BETWEEN 2 AND 5 AND x BETWEEN 3 AND 8")
 def crop_with_attributes(spark, d):
     """A crop of a scan takes its detector's projection centres and its crystal map along, and keeps its calibration."""
     idx, pc = _centres(spark, d)

@@ -104,7 +104,7 @@ def edax_up1_file(spark, d):
     return _long(load(spark, path, ny=shape[0], nx=shape[1]).df, "idx", "y", "x")
 
 
-@query(f"{_BYTES} SELECT idx, y, x, pixel, v * 250 AS v, 0.25 AS step_y, 0.5 AS step_x FROM b")
+@query(f"{_BYTES} SELECT idx, y, x, pixel, v * 250 AS v, 0.25::DOUBLE AS step_y, 0.5::DOUBLE AS step_x FROM b")
 def edax_up2_file(spark, d):
     """16-bit patterns of a map with its shape and steps in the header."""
     path = _path(spark, "a.up2")
@@ -114,7 +114,7 @@ def edax_up2_file(spark, d):
     return _long(scan.df, "idx", "y", "x").select("*", F.lit(scan.step[0]).alias("step_y"), F.lit(scan.step[1]).alias("step_x"))
 
 
-@query(f"{_BYTES} SELECT idx, y, x, pixel, v, 1.5 AS step FROM b")
+@query(f"{_BYTES} SELECT idx, y, x, pixel, v, 1.5::DOUBLE AS step FROM b")
 def oxford_ebsp_file(spark, d):
     """Patterns with a table of where each begins, and beam positions, which say the shape of the map."""
     path = _path(spark, "a.ebsp")
@@ -154,7 +154,7 @@ def store_of_scans(spark, d):
     return wide.withColumn("background", F.element_at(background, (F.col("idx") % 10 + 1).cast("int")).cast("int"))
 
 
-@query(f"WITH {P}, c AS (SELECT idx, round(0.4::DOUBLE + x / 1000.0, 7) AS pcx, round(0.7::DOUBLE - y / 500.0, 7) AS pcy, round(0.5::DOUBLE + y / 800.0 + x / 9000.0, 7) AS pcz FROM p) SELECT idx, {R('pcx')} AS pcx, {R('pcy')} AS pcy, {R('pcz')} AS pcz, 5.0 AS tilt, 2 AS binning FROM c")
+@query(f"WITH {P}, c AS (SELECT idx, round(0.4::DOUBLE + x / 1000.0, 7) AS pcx, round(0.7::DOUBLE - y / 500.0, 7) AS pcy, round(0.5::DOUBLE + y / 800.0 + x / 9000.0, 7) AS pcz FROM p) SELECT idx, {R('pcx')} AS pcx, {R('pcy')} AS pcy, {R('pcz')} AS pcz, 5.0::DOUBLE AS tilt, 2 AS binning FROM c")
 def detector_text_file(spark, d):
     """A detector with a projection centre for each point."""
     path = _path(spark, "detector.txt")
@@ -195,7 +195,7 @@ def decomposition_model_file(spark, d):
 _CENTRED = f"{_BYTES}, c AS (SELECT avg(0.4::DOUBLE + x / 1000.0) AS pcx FROM p)"
 
 
-@query(f"{_CENTRED} SELECT idx, y, x, pixel, v, {R('pcx')} AS pcx, 5.0 AS tilt, 2 AS binning, 1.5 AS step, 63 AS background FROM b, c")
+@query(f"{_CENTRED} SELECT idx, y, x, pixel, v, {R('pcx')} AS pcx, 5.0::DOUBLE AS tilt, 2 AS binning, 1.5::DOUBLE AS step, 63 AS background FROM b, c")
 def h5_file(spark, d):
     """The own layout, with the detector, its projection centres for all points and a static background."""
     path, nav = _path(spark, "a.h5"), _map_shape(spark, d)
@@ -229,7 +229,7 @@ _maker("edax", lambda ny, nx, later: {"Manufacturer": "EDAX", "Version": "7", "S
 _maker("oxford", lambda ny, nx, later: {"Manufacturer": "Oxford Instruments", "Format Version": "7.0", "1": {"EBSD": {"Data": {"Processed Patterns": later, "Pattern Center X": np.full(ny * nx, 0.4), "Pattern Center Y": np.full(ny * nx, 0.3), "Detector Distance": np.full(ny * nx, 0.5)}, "Header": {"Y Cells": ny, "X Cells": nx, "Pattern Height": 8, "Pattern Width": 8, "X Step": 0.5, "Y Step": 0.25, "Tilt Angle": np.deg2rad(70.0), "Detector Orientation Euler": np.deg2rad([0.0, 95.0, 0.0]), "Camera Mode": "Speed 3 (156x88 px)"}}}}, 5.0, 8)
 
 
-@query(f"{_BYTES}, m AS (SELECT max(y) + 1 AS ny FROM p) SELECT CAST((ny - 1 - y) * 25 + 24 - x AS BIGINT) AS idx, CAST(ny - 1 - y AS INTEGER) AS y, CAST(24 - x AS INTEGER) AS x, pixel, v, 35.0 AS px_size FROM b, m")
+@query(f"{_BYTES}, m AS (SELECT max(y) + 1 AS ny FROM p) SELECT CAST((ny - 1 - y) * 25 + 24 - x AS BIGINT) AS idx, CAST(ny - 1 - y AS INTEGER) AS y, CAST(24 - x AS INTEGER) AS x, pixel, v, 35.0::DOUBLE AS px_size FROM b, m")
 def h5_file_bruker(spark, d):
     """Patterns are stored in another order than that of the map: here the last point is first."""
     n = lambda ny, nx: np.arange(ny * nx)[::-1]
@@ -250,7 +250,7 @@ def h5_file_simulated(spark, d):
     return _long(load(spark, path).df, "idx").join(own, "idx").withColumn("phi1", r6("phi1"))
 
 
-@query(f"SELECT CAST(e.i AS BIGINT) AS e, CAST(a.i AS BIGINT) AS r, CAST(b.i AS BIGINT) AS c, {R('(e.i + 1) * a.i + 0.5 * b.i')} AS stereographic, {R('2 * (e.i + 1) * a.i + b.i + 3')} AS lambert_lower, 11.0 + e.i AS energy FROM range(2) e(i), range(7) a(i), range(7) b(i)")
+@query(f"SELECT CAST(e.i AS BIGINT) AS e, CAST(a.i AS BIGINT) AS r, CAST(b.i AS BIGINT) AS c, {R('(e.i + 1) * a.i + 0.5::DOUBLE * b.i')} AS stereographic, {R('2.0::DOUBLE * (e.i + 1) * a.i + b.i + 3')} AS lambert_lower, 11.0::DOUBLE + e.i AS energy FROM range(2) e(i), range(7) a(i), range(7) b(i)")
 def h5_master_pattern(spark, d):
     """Simulated master patterns of two of three energies: a stereographic hemisphere, and a Lambert one of two sites."""
     from scanloom.sources import h5ebsd, hdf5
