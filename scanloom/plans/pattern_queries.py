@@ -252,9 +252,12 @@ def fft_frequency_vectors(spark, d):
 
 # Selections
 
-@query(f"WITH {P} SELECT idx, y, x FROM p WHERE y IN (4, 8, 12, 16) AND x IN (5, 10, 15, 20)")
+_AXES = "e AS (SELECT max(y) + 1 AS ny, max(x) + 1 AS nx FROM p), st AS (SELECT *, (ny + 4) // 5 AS sy, (nx + 5) // 6 AS sx FROM e), l AS (SELECT *, (ny - 1) // sy * sy AS ly, (nx - 1) // sx * sx AS lx FROM st), sh AS (SELECT *, CAST(floor((sy - ny + ly) / 2.0) AS INTEGER) AS dy, CAST(floor((sx - nx + lx) / 2.0) AS INTEGER) AS dx FROM l)"
+
+
+@query(f"WITH {P}, {_AXES} SELECT idx, y, x FROM p, sh WHERE (y + dy) % sy = 0 AND y + dy BETWEEN sy AND ly AND (x + dx) % sx = 0 AND x + dx BETWEEN sx AND lx")
 def extract_grid(spark, d):
-    """The SQL has the grid of a 20 x 25 map; on larger tables the grid is of their own map."""
+    """A grid of 4 x 5 points in the middle of the map that the table spans."""
     df = patterns(spark, d)
     return selection.extract_grid(df, (4, 5), selection.map_shape(df)).select("idx", "y", "x")
 
