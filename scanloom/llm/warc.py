@@ -99,7 +99,7 @@ class Reader:
         reason = ""
         while at < self.size:
             try:
-                found, to = self.unit(at)
+                found, to, why = self.unit(at)
             except Bad as e:
                 reason = reason or str(e)
                 at = self.next_begin(at + 1)
@@ -108,7 +108,7 @@ class Reader:
                 yield Record(gap, at, "gap", reason=reason or "bytes before a record")
             yield from found
             at = gap = to
-            reason = ""
+            reason = why
         if gap < self.size:
             yield Record(gap, self.size, "gap", reason=reason or "bytes after the last record")
 
@@ -124,19 +124,39 @@ class Reader:
             at = max(0, at - 1) + len(part) - 8
         return self.size
 
-    def unit(self, at: int) -> tuple[list[Record], int]:
-        """The records of the member, or the record, that begins at ``at``, and where it ends."""
+    def unit(self, at: int) -> tuple[list[Record], int, str]:
+        """The records of the member, or the record, that begins at ``at``, where it ends, and why it ends early if it does.
+
+        Of a member with a bad record those around it are kept, and the record is a gap. Of a member that breaks off those
+        are kept that another one follows; all its bytes but the first are then a gap, up to where the next member or version
+        line is found.
+        """
         head = self.bytes_at(at, 16)
         if head[:3] == b"\x1f\x8b\x08":
-            data, to = self.inflate(at)
-            out, k = [], 0
+            data, to, reason = self.inflate(at)
+            to = at + 1 if reason else to  # where it broke isn't known: the next member may have been taken for a part of it
+            out, k, lost = [], 0, None
+            gap = lambda: out.append(Record(at, to, "gap", reason=f"{lost[1]}: bytes {lost[0]} to {k} of the member"))
             while k < len(data):
-                r, k = self.parse(data, k)
-                r.start, r.stop = at, to
+                try:
+                    r, after = self.parse(data, k)
+                except Bad as e:
+                    lost = lost or (k, str(e))
+                    m = _VERSION.search(data, k + 1)
+                    k = m.start() if m else len(data)
+                    continue
+                if reason and after >= len(data):
+                    break
+                if lost:
+                    gap()
+                    lost = None
+                r.start, r.stop, k = at, to, after
                 out.append(r)
-            if not out:
-                raise Bad("an empty member")
-            return out, to
+            if all(r.kind == "gap" for r in out):
+                raise Bad(reason or (lost[1] if lost else "an empty member"))
+            if lost and not reason:
+                gap()
+            return out, to, reason
         if not head.startswith(b"WARC/"):
             raise Bad("neither a member nor a version line")
         n = 1 << 12
@@ -151,22 +171,29 @@ class Reader:
             raise Bad("a record without an end")
         r, k = self.parse(self.bytes_at(at, need), 0)
         r.start, r.stop = at, at + k
-        return [r], at + k
+        return [r], at + k, ""
 
-    def inflate(self, at: int) -> tuple[bytes, int]:
+    def inflate(self, at: int) -> tuple[bytes, int, str]:
+        """What a member holds, where it ends, and why that is before its end if it is."""
         d, out = zlib.decompressobj(31), []
-        try:
-            while not d.eof:
-                part = self.bytes_at(at, min(READ, self.size - at))
-                if not part:
-                    raise Bad("a member without an end")
+        while not d.eof:
+            part = self.bytes_at(at, min(READ, self.size - at))
+            if not part:
+                return b"".join(out), at, "a member without an end"
+            before = d.copy()
+            try:
                 out.append(d.decompress(part))
-                at += len(part)
-                if len(out) == 1 and len(out[0]) >= 5 and not out[0].startswith(b"WARC/"):
-                    raise Bad("a member that isn't a record")
-        except zlib.error as e:
-            raise Bad(f"a broken member: {e}") from None
-        return b"".join(out), at - len(d.unused_data)
+            except zlib.error as e:
+                for k in range(0, len(part), 512):  # up to the bytes that are broken
+                    try:
+                        out.append(before.decompress(part[k : k + 512]))
+                    except zlib.error:
+                        return b"".join(out), at + max(k, 1), f"a broken member: {e}"
+                return b"".join(out), at + len(part), f"a broken member: {e}"
+            at += len(part)
+            if len(out) == 1 and len(out[0]) >= 5 and b"WARC/" not in out[0]:
+                raise Bad("a member that isn't a record")
+        return b"".join(out), at - len(d.unused_data), ""
 
     @staticmethod
     def headers(head: bytes) -> dict[str, str]:

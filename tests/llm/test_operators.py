@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import io
 import random
 import re
 
@@ -149,6 +150,23 @@ def test_salvage_recovers_what_follows_damage(spark, tmp_path, packed):
     assert all(r["reason"] for r in found if r["kind"] == "gap") and sum(r["kind"] == "gap" for r in found) == 5
 
 
+def test_salvage_inside_a_member():
+    """A bad record of a member that holds several, and a member that breaks off."""
+    records = [warc.record(k, f"u{k}", (f"page {k} " * 400).encode() + RNG.randbytes(300)) for k in range(5)]
+    bad = bytearray(b"".join(records))
+    bad[len(records[0]) + len(records[1]) - 40] ^= 1  # in the payload of record 1
+    whole = warc.member(b"".join(records))
+    data = warc.member(bytes(bad)) + whole[: len(whole) * 3 // 4] + warc.member(records[2])
+    found = list(warc.Reader(io.BytesIO(data), len(data)).records())
+    ids = [r.headers["warc-record-id"] for r in found if r.kind == "response"]
+    broken_off = ids[4:-1]
+    assert ids[:4] == [f"<urn:page:{k}>" for k in (0, 2, 3, 4)] and ids[-1] == "<urn:page:2>"
+    assert broken_off == [f"<urn:page:{k}>" for k in range(len(broken_off))] and 1 <= len(broken_off) <= 3
+    gaps = [r for r in found if r.kind == "gap"]
+    assert len(gaps) == 2 and f"bytes {len(records[0])} to {len(records[0]) + len(records[1])} of the member" in gaps[0].reason
+    assert gaps[1].stop == len(data) - len(warc.member(records[2])) and "member" in gaps[1].reason
+
+
 # Mixing
 
 def test_mixing(spark, docs):
