@@ -29,6 +29,8 @@ WINDOW = 64
 ROWS_PER_CLASS = 4000
 #: Bytes of the dictionaries, and segment and match lengths of their training.
 ORDINARY, TOXIC, SEGMENT, MATCH = 8192, 1024, 24, 6
+#: Bits of a compressor's window and tables: enough for both dictionaries and a window of text.
+REACH = (ORDINARY + TOXIC + WINDOW).bit_length()
 #: Bytes of a gram and bits of its hash; toxic documents that it needs, and its z-score, at least; and both as the sample
 #: grows, as a share of its toxic documents and times the square root of their number.
 GRAM, BITS, LEAST, Z, SHARE, Z_GROWS = 7, 22, 5, 4.0, 0.01, 0.19
@@ -65,10 +67,22 @@ def gram_hashes(text: bytes) -> np.ndarray:
 
 
 def significant(counts: list[np.ndarray], n: list[int]) -> np.ndarray:
-    """True for grams that significantly more toxic documents have, from how many documents of each class have each gram."""
-    rates = [np.log((c + 0.5) / (k + 0.5 - np.minimum(c, k))) for c, k in zip(counts, n, strict=True)]
-    z = (rates[1] - rates[0]) / np.sqrt(1 / (counts[0] + 0.5) + 1 / (counts[1] + 0.5))
-    return (z >= max(Z, Z_GROWS * np.sqrt(n[1]))) & (counts[1] >= max(LEAST, SHARE * n[1]))
+    """True for grams that significantly more toxic documents have, from how many documents of each class have each gram.
+
+    z is the signed root of the likelihood ratio of two rates and one. It grows with the sample also for a gram that no
+    ordinary document has, where log odds over their standard error hardly do.
+    """
+    enough = np.flatnonzero(counts[1] >= max(LEAST, SHARE * n[1]))
+    k = [np.minimum(c[enough], m).astype(np.float64) for c, m in zip(counts, n, strict=True)]
+    both = (k[0] + k[1]) / max(1, sum(n))
+    gain = np.zeros(len(enough))
+    for c, m in zip(k, n, strict=True):
+        for have, expected in ((c, m * both), (m - c, m * (1 - both))):
+            gain += have * np.log(np.maximum(have, 1e-9) / np.maximum(expected, 1e-9))
+    z = np.sqrt(2 * np.maximum(gain, 0)) * np.sign(k[1] * n[0] - k[0] * n[1])
+    out = np.zeros(len(counts[1]), bool)
+    out[enough[z >= max(Z, Z_GROWS * np.sqrt(n[1]))]] = True
+    return out
 
 
 def stretches(text: bytes, wanted: np.ndarray) -> list[bytes]:
@@ -106,8 +120,9 @@ def windows(text: bytes) -> list[bytes]:
 
 
 def compressor(content: bytes):
+    # chains and hashes span both dictionaries: with fewer bits the toxic one, which lies farthest back, is hardly found
     parameters = zstandard.ZstdCompressionParameters(
-        window_log=13, chain_log=12, hash_log=12, search_log=4, min_match=4, target_length=16, strategy=zstandard.STRATEGY_LAZY,
+        window_log=REACH, chain_log=REACH, hash_log=REACH, search_log=6, min_match=4, target_length=16, strategy=zstandard.STRATEGY_LAZY,
         write_content_size=False, write_checksum=False, write_dict_id=False,
     )
     content = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)

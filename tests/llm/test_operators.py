@@ -454,6 +454,41 @@ def test_classifiers_on_held_out_labels(spark, module, label, threshold, least):
     assert area > least
 
 
+def test_grams_that_no_ordinary_document_has_are_significant():
+    """In a sample of any size; and grams of a few copies or of either class alike are not."""
+    for n in (400, 1700, 4000, 100_000):
+        ordinary, toxic = np.array([0, 0, n // 50, n // 2, n // 3]), np.array([n // 3, n // 20, n // 40, n // 2, 0])
+        assert toxicity.significant([ordinary, toxic], [n, n]).tolist() == [True, True, False, False, False]
+    assert not toxicity.significant([np.zeros(3), np.zeros(3)], [0, 0]).any()
+
+
+SYLLABLES = ["ba", "ke", "li", "mo", "nu", "ras", "tel", "vin", "dor", "sch"]
+
+
+def test_the_toxic_dictionary_is_within_reach():
+    """Its stretches are found behind an ordinary one of full size with the same syllables."""
+    rng = np.random.default_rng(3)
+    toxic, ordinary = (" ".join("".join(rng.choice(SYLLABLES, rng.integers(1, 4))) for _ in range(n)).encode()[:n] for n in (toxicity.TOXIC, toxicity.ORDINARY))
+    compress = toxicity.compressor(toxic + ordinary)
+    assert max(len(compress(toxic[k : k + 48])) for k in range(0, len(toxic) - 48, 64)) < 25
+
+
+def test_toxic_words_are_learned_from_a_large_sample(spark):
+    """Half of 3400 documents hold one of four words three times, with other endings, that no other document has."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(SYLLABLES, rng.integers(1, 4)))
+    rows = []
+    for k in range(3400):
+        words = [word() for _ in range(60)]
+        for at in (10, 30, 50) if k % 2 else ():
+            words[at] = ["zofquip", "wyxjaffe", "quophag", "xivjompt"][k // 2 % 4] + word()
+        rows.append((k, " ".join(words), k % 2))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    found = toxicity.score(docs.drop("toxic"), toxicity.train(docs, docs)).filter("held_out").collect()
+    right = [r["predicted"] == r["doc_id"] % 2 for r in found]
+    assert len(found) > 500 and np.mean(right) > 0.98
+
+
 @pytest.mark.parametrize(("module", "label"), [(quality, "quality"), (toxicity, "toxic")])
 def test_classifiers_at_the_edges(spark, docs, empty, module, label):
     none = spark.createDataFrame([], f"doc_id bigint, {label} int")
