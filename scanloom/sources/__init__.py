@@ -58,8 +58,9 @@ def _exists(path: str) -> bool:
 def save(scan: Scan, path: str, scan_id: str = "1", overwrite: bool | None = None) -> bool:
     """To a raw file of 8-bit patterns if the path ends in .dat, to an .up1, .up2, .ebsp or .h5 file, else to a store of scans.
 
-    Folders that are missing are made. A file that is there is replaced if ``overwrite`` is true, kept if it is false, and
-    otherwise an error. Whether something was written.
+    An .up1, .up2 or .h5 file, and a .dat file of a scan with ``nav_shape``, has a pattern for every point of the map: zeros
+    where the scan has none. Folders that are missing are made. A file that is there is replaced if ``overwrite`` is true,
+    kept if it is false, and otherwise an error. Whether something was written.
     """
     suffix = path.lower().rsplit("/", 1)[-1].rpartition(".")[2]
     if suffix not in EXTENSIONS:
@@ -70,7 +71,7 @@ def save(scan: Scan, path: str, scan_id: str = "1", overwrite: bool | None = Non
             raise FileExistsError(path)
         return False
     if suffix == "dat":
-        nordif.write_nordif(scan.df, path)
+        nordif.write_nordif(scan.df, path, nav_shape=scan.nav_shape)
     elif EXTENSIONS[suffix] == "h5ebsd":
         h5ebsd.write_h5(scan.df, path, scan.shape, scan.map_shape(), scan.dtype, scan.detector, scan.step, scan.static_background, scan_id if scan_id != "1" else "Scan 1")
     elif suffix == "ebsp":

@@ -45,10 +45,10 @@ class EdaxSource(PatternSource):
 
 
 def write_edax(df: DataFrame, path: str, shape: tuple[int, int], nav_shape: tuple[int, int], step: tuple[float, float] = (1.0, 1.0)) -> int:
-    """All patterns of ``df`` in the order of idx: a path in .up1 gives a file of version 1, one in .up2 a file of version 3,
-    which has the map's shape and its steps (row, column)."""
+    """All patterns of ``df`` at their places in the map, with zeros where the map has none: a path in .up1 gives a file of
+    version 1, one in .up2 a file of version 3, which has the map's shape and its steps (row, column)."""
     rows, cols = shape
     small = path.lower().endswith(".up1")
     head = struct.pack("<4I", 1, cols, rows, 16) if small else struct.pack("<4IBII?dd", 3, cols, rows, 42, 0, nav_shape[1], nav_shape[0], False, step[1], step[0])
     top, kind = (255, np.uint8) if small else (65535, "<u2")
-    return write_records(df, path, head, lambda idx, y, x, pixels: np.clip(pixels, 0, top).astype(kind).tobytes())
+    return write_records(df, path, head, lambda idx, y, x, pixels: np.clip(pixels, 0, top).astype(kind).tobytes(), n=nav_shape[0] * nav_shape[1], nx=nav_shape[1])

@@ -206,7 +206,8 @@ class H5Source(PatternSource):
 
 
 def write_h5(df: DataFrame, path: str, shape: tuple[int, int], nav_shape: tuple[int, int], dtype: str = "uint8", detector: Detector | None = None, step: tuple[float, float] = (1.0, 1.0), static_background: np.ndarray | None = None, scan: str = "Scan 1") -> int:
-    """A file of the own layout with one scan; patterns come last and are written by the tasks."""
+    """A file of the own layout with one scan; patterns come last and are written by the tasks, with zeros at points of the
+    map that have none."""
     d = detector or Detector(shape)
     header = {
         "n_rows": nav_shape[0], "n_columns": nav_shape[1], "pattern_height": shape[0], "pattern_width": shape[1], "step_y": float(step[0]), "step_x": float(step[1]),
@@ -216,13 +217,14 @@ def write_h5(df: DataFrame, path: str, shape: tuple[int, int], nav_shape: tuple[
     if static_background is not None:
         header["static_background"] = np.asarray(static_background).reshape(shape)
     tree = {"manufacturer": "scanloom", "version": "0.1.0", scan: {"EBSD": {"Header": header, "Data": {"patterns": hdf5.Later((*nav_shape, *shape), dtype)}}, "SEM": {"Header": {"microscope": ""}}}}
-    return write_tree(df, path, tree, dtype)
+    return write_tree(df, path, tree, dtype, nav_shape[0] * nav_shape[1], nav_shape[1])
 
 
-def write_tree(df: DataFrame, path: str, tree: dict, dtype: str) -> int:
+def write_tree(df: DataFrame, path: str, tree: dict, dtype: str, n: int | None = None, nx: int | None = None) -> int:
+    """A file of ``tree`` with the patterns of ``df`` as what is written later; n and nx: see ``write_records``."""
     kind = np.dtype(dtype)
     ends = (np.iinfo(kind).min, np.iinfo(kind).max) if kind.kind in "iu" else (-np.inf, np.inf)
-    return write_records(df, path, hdf5.file_bytes(tree), lambda idx, y, x, pixels: np.clip(pixels, *ends).astype(kind).tobytes())
+    return write_records(df, path, hdf5.file_bytes(tree), lambda idx, y, x, pixels: np.clip(pixels, *ends).astype(kind).tobytes(), n=n, nx=nx)
 
 
 def read_master_pattern(path: str, projection: str = "stereographic", hemisphere: str = "upper", energy: tuple[float, float] | None = None, kind: str = "EBSD") -> MasterPattern:

@@ -118,9 +118,11 @@ def calibration_patterns(df_files: DataFrame) -> DataFrame:
     return decode_files(named)
 
 
-def write_nordif(df: DataFrame, path: str, column: str = "pixels") -> int:
-    """All patterns of ``df`` in the order of idx as one raw 8-bit file; the number of bytes."""
-    return write_records(df, path, b"", lambda idx, y, x, pixels: np.clip(pixels, 0, 255).astype(np.uint8).tobytes(), column)
+def write_nordif(df: DataFrame, path: str, column: str = "pixels", nav_shape: tuple[int, int] | None = None) -> int:
+    """All patterns of ``df`` in the order of idx as one raw 8-bit file; the number of bytes. With ``nav_shape`` they are at
+    their places in the map, with zeros where it has none."""
+    n, nx = (None, None) if nav_shape is None else (nav_shape[0] * nav_shape[1], nav_shape[1])
+    return write_records(df, path, b"", lambda idx, y, x, pixels: np.clip(pixels, 0, 255).astype(np.uint8).tobytes(), column, n, nx)
 
 
 __all__ = ["NordifSource", "Settings", "calibration_patterns", "open_file", "parse_settings", "read_settings", "static_background", "write_nordif"]
