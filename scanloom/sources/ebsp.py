@@ -49,8 +49,8 @@ def read_offsets(file, table_at: int, size: int) -> np.ndarray:
 
 
 def layout_of(path: str) -> Layout:
-    """Patterns in the order of the map. A file in which some are absent, or without beam positions, is one row of points,
-    without the absent ones."""
+    """Patterns in the order of the map, whose last row may be incomplete. A file in which some are absent, or without beam
+    positions, is one row of points, without the absent ones."""
     with open_file(path) as file:
         size = file.size()
         (first,) = struct.unpack("<q", file.read(8))
@@ -82,14 +82,18 @@ def layout_of(path: str) -> Layout:
                 return struct.unpack_from("<d", raw, 1)[0], struct.unpack_from("<d", raw, 10)[0]
             return None
 
-        nx, step, whole = len(there), (1.0, 1.0), len(there) == n
-        places = [beam(p) for p in (there[0], there[min(1, len(there) - 1)], there[-1])] if whole else [None]
+        nx, step, whole, last = len(there), (1.0, 1.0), len(there) == n, len(there) - 1
+        places = [beam(p) for p in (there[0], there[min(1, last)], there[-1])] if whole else [None]
         if all(p is not None for p in places) and len(there) > 1:
             dx = places[1][0] - places[0][0]
             if dx:
-                cells = [int(abs(round(places[2][k] / dx) - round(places[0][k] / dx))) + 1 for k in (0, 1)]
-                if cells[0] * cells[1] == n:
-                    nx, step = cells[0], (abs(dx), abs(dx))
+                across, down = (int(abs(round(places[2][k] / dx) - round(places[0][k] / dx))) for k in (0, 1))
+                if not down or (last - across) % down == 0:  # the last pattern's place is down * nx + across; its row may be incomplete
+                    width = (last - across) // down if down else n
+                    ends = [beam(there[k]) for k in (width - 1, width)] if down and 0 < across + 1 <= width else []
+                    turns = [tuple(int(abs(round(p[k] / dx) - round(places[0][k] / dx))) for k in (0, 1)) for p in ends if p is not None]
+                    if not down and across == last or turns == [(width - 1, 0), (0, 1)]:
+                        nx, step = width, (abs(dx), abs(dx))
     positions = (offsets if whole else there) + struct.calcsize(head)
     return Layout(len(positions), nx, (rows, cols), dtype, positions=positions, step=step, meta={"version": version, "map_index": np.flatnonzero(offsets)})
 

@@ -15,6 +15,7 @@ ABSENT = {
     "h5_file": (7, 25),
     "edax_up2_file": (7, 25),
     "nordif_file": (7, 25),
+    "oxford_ebsp_file": (),
 }
 
 
