@@ -44,10 +44,10 @@ def estimate_xtilt_robust(pc: np.ndarray, residual: float | None = None, trials:
 
 
 def plane_of(pc: np.ndarray) -> tuple[float, float, np.ndarray]:
-    """(x tilt, z tilt, middle) in radians of the plane nearest to points: tilts of its normal about the detector's x and z
-    axes. The middle is the mean without the least and greatest tenth of each coordinate."""
-    cut = int(0.1 * len(pc))
-    middle = np.sort(pc, axis=0)[cut : len(pc) - cut].mean(axis=0)
+    """(x tilt, z tilt, mean) in radians of the plane nearest to points, which goes through their mean: tilts of its normal
+    about the detector's x and z axes. Through another middle, as one without the outermost tenths, it would be tilted off
+    points that lie on a plane, where they aren't evenly spread about it."""
+    middle = pc.mean(axis=0)
     normal = np.linalg.svd(pc - middle, full_matrices=False)[2][2]
     normal = -normal if normal[2] < 0 else normal
     return float(np.arccos(np.clip(normal[2], -1, 1))), float(np.pi / 2 - np.arctan2(normal[1], normal[0])), middle
@@ -103,7 +103,8 @@ def homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     one, zero = np.ones(len(a)), np.zeros((len(a), 3))
     left = np.column_stack([a, one])
     rows = np.concatenate([np.hstack([left, zero, -b[:, :1] * left]), np.hstack([zero, left, -b[:, 1:] * left])])
-    h = np.linalg.svd(rows)[2][-1].reshape(3, 3)
+    # of the triangle that n points come down to: as many rows as unknowns, whatever n
+    h = np.linalg.svd(np.linalg.qr(rows, mode="r"))[2][-1].reshape(3, 3)
     out = np.linalg.inv(tb) @ h @ ta
     return out / out[2, 2]
 

@@ -1,5 +1,7 @@
 """Rotations, detectors, calibration, master patterns, simulation, refinement, crystal maps."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -217,3 +219,27 @@ def test_methods_of_refinement(method):
     out = refinement.refine_block(kg.project(master, q, cosines), start, pc, ["orientation"], master, gq._SCREEN.shape, gq._SCREEN.sample_to_detector, method=method, trust_region=(3, 3, 3))
     angle = np.degrees(2 * np.arccos(np.clip(np.abs((q * out["q"]).sum(axis=1)), 0, 1)))
     assert angle.max() < 0.8 and out["score"].min() > 0.99 and (out["num_evals"] > 0).all()
+
+
+def test_a_homography_of_many_points_takes_little_memory():
+    h = np.array([[1.1, 0.02, 3.0], [-0.05, 0.9, -2.0], [1e-4, -2e-4, 1.0]])
+    for n in (4, 5, 4000):
+        src = np.random.default_rng(n).uniform(0, 60, (n, 2))
+        dst = np.column_stack([src, np.ones(n)]) @ h.T
+        tracemalloc.start()
+        found = calibration.homography(src, dst[:, :2] / dst[:, 2:])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        np.testing.assert_allclose(found, h, atol=1e-8)
+        assert peak < 16 << 20
+
+
+def test_projective_fits_of_an_incomplete_map_are_exact():
+    idx = np.arange(411 * 25 - 19)
+    y, x = idx // 25, idx % 25
+    pc = np.column_stack([0.4 + x / 1000, 0.7 - y / 500, 0.5 + y / 800 + x / 9000])
+    at = np.stack([y, x])
+    fit, whole, tilt = calibration.fit_pc(pc, at, at[:, :, None], "projective")
+    np.testing.assert_allclose(fit, pc, atol=1e-11)
+    np.testing.assert_allclose(whole[:, 0], pc, atol=1e-11)
+    assert tilt == pytest.approx(np.rad2deg(np.pi / 2 + np.arctan(np.polyfit(pc[:, 2], pc[:, 1], 1)[0])), abs=1e-9)
