@@ -23,6 +23,9 @@ from scanloom.storage import bounded_batches
 
 #: Patterns refined together.
 TOGETHER = 64
+#: Where the sine of Phi is less, the first and last Bunge angles turn about nearly the same axis, and small turns about
+#: another one are far away in them. There, angles are those of the rotation times ASIDE, whose Phi is near 90 degrees.
+POLE, ASIDE = 0.25, np.array([np.sqrt(0.5), np.sqrt(0.5), 0.0, 0.0])
 METHODS = ("minimize", "ln_neldermead", "nelder-mead", "differential_evolution", "basinhopping", "dual_annealing", "shgo")
 _GLOBAL = {"basinhopping": optimise.basin_hopping, "dual_annealing": optimise.dual_annealing, "shgo": optimise.shgo}
 _NAMES = {"orientation": ("phi1", "Phi", "phi2"), "pc": ("pcx", "pcy", "pcz")}
@@ -33,7 +36,8 @@ _FIRST_STEP = {"orientation": np.deg2rad([1.0, 1.0, 1.0]), "pc": np.array([0.01,
 
 
 def bounds(kinds: Sequence[str], x0: np.ndarray, trust_region: Sequence[float] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds (n, d) around x0. trust_region: half-widths, angles in degrees; none is the whole range."""
+    """Lower and upper bounds (n, d) around x0. trust_region: half-widths, angles in degrees; none is the whole range. Near the
+    poles of Phi angles are about other axes, see POLE."""
     least, most = (np.concatenate([t[k] for k in kinds]) for t in (_LEAST, _MOST))
     if trust_region is None:
         return np.broadcast_to(least, x0.shape).copy(), np.broadcast_to(most, x0.shape).copy()
@@ -65,12 +69,17 @@ def refine_block(patterns: np.ndarray, q: np.ndarray, pc: np.ndarray, kinds: Seq
     every = np.tile(np.arange(n), len(starts))
     q = np.concatenate(starts)
     pc = np.tile(pc, (len(starts), 1))
+    polar = np.sin(kg.euler_from_quaternion(q)[:, 1]) < POLE if "orientation" in kinds else np.zeros(len(q), bool)
+    aside = np.where(polar[:, None], ASIDE, [1.0, 0.0, 0.0, 0.0])
+    back = aside * [1, -1, -1, -1]
     fixed = kg.direction_cosines(shape, pc, to_detector, kept) if "pc" not in kinds and n else None
-    x0 = np.concatenate([kg.euler_from_quaternion(q) if k == "orientation" else pc for k in kinds], axis=1)
+    x0 = np.concatenate([kg.euler_from_quaternion(kg.product(q, aside)) if k == "orientation" else pc for k in kinds], axis=1)
     lower, upper = bounds(kinds, x0, trust_region)
 
     def split(rows: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         turned = kg.quaternion_from_euler(x[:, :3]) if "orientation" in kinds else q[rows]
+        if polar[rows].any():
+            turned = kg.product(turned, back[rows])
         return turned, (x[:, -3:] if "pc" in kinds else pc[rows])
 
     def loss(rows: np.ndarray, x: np.ndarray) -> np.ndarray:

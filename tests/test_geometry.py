@@ -243,3 +243,18 @@ def test_projective_fits_of_an_incomplete_map_are_exact():
     np.testing.assert_allclose(fit, pc, atol=1e-11)
     np.testing.assert_allclose(whole[:, 0], pc, atol=1e-11)
     assert tilt == pytest.approx(np.rad2deg(np.pi / 2 + np.arctan(np.polyfit(pc[:, 2], pc[:, 1], 1)[0])), abs=1e-9)
+
+
+@pytest.mark.parametrize("kinds", [["orientation"], ["orientation", "pc"]])
+def test_orientations_near_a_pole_of_their_angles_are_refined(kinds):
+    """Where Phi is near 0 or 180 degrees a small turn changes the other two angles by far more than the trust region."""
+    euler = np.deg2rad([[63, 177.6, 61], [121, 178.0, 267], [305, 177.4, 273], [62, 1.8, 264], [356, 1.0, 86], [251, 2.7, 260], [33, 179.5, 291], [100, 0.0, 20], [100, 13.0, 20], [40, 168.0, 300]])
+    truth = kg.quaternion_from_euler(euler)
+    half = np.deg2rad(0.4)
+    started = kg.product(truth, np.array([np.cos(half), np.sin(half), 0, 0]))
+    master, screen = gq._BANDS.for_projection(), gq._SCREEN
+    pc = np.tile(screen.pc_flattened, (len(truth), 1))
+    seen = kg.project(master, truth, kg.direction_cosines(screen.shape, pc, screen.sample_to_detector))
+    trust = (3, 3, 3, 0.05, 0.05, 0.05)[: 3 * len(kinds)]
+    out = refinement.refine_block(seen, started, pc, kinds, master, screen.shape, screen.sample_to_detector, trust_region=trust)
+    assert np.rad2deg(kg.misorientation_angle(out["q"], truth)).max() < 0.2
