@@ -125,24 +125,72 @@ def lambert_to_vector(xy: np.ndarray) -> np.ndarray:
 
 def lookup(master: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Intensities at vectors (..., 3) in a Lambert master pattern (2, n, n), upper and lower half, by bilinear interpolation."""
+    return _intensities(master, *np.ascontiguousarray(v.reshape(-1, 3).T)).reshape(v.shape[:-1])
+
+
+def _intensities(master: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray, length: np.ndarray | None = None) -> np.ndarray:
+    """``lookup`` of vectors by coordinate. They needn't be unit vectors; ``length`` is theirs. Coordinates are those of
+    ``vector_to_lambert`` in pixels of the master pattern, and arrays are used again: most of the time goes into memory."""
     n = master.shape[1]
     half = (n - 1) / 2
-    xy = vector_to_lambert(v) / np.sqrt(np.pi / 2) * half + half
-    lower = (v[..., 2] < 0).astype(np.int64)
-    col, row = xy[..., 0], xy[..., 1]
-    r0, c0 = np.clip(row.astype(np.int64), 0, n - 1), np.clip(col.astype(np.int64), 0, n - 1)
-    r1, c1 = np.minimum(r0 + 1, n - 1), np.minimum(c0 + 1, n - 1)
-    fr, fc = row - r0, col - c0
+    with np.errstate(invalid="ignore", divide="ignore"):
+        radius = np.abs(z)
+        radius /= np.sqrt(x * x + y * y + z * z) if length is None else length
+        np.subtract(1, radius, out=radius)
+        np.maximum(radius, 0, out=radius)
+        np.sqrt(radius, out=radius)  # the square roots of 2 and pi are in the factors
+        minor, other = np.abs(x), np.abs(y)
+        across = other <= minor
+        major = np.maximum(minor, other)
+        np.minimum(minor, other, out=minor)
+        minor /= np.maximum(major, 1e-300, out=major)
+    np.arctan(minor, out=minor)
+    minor *= radius
+    minor *= half * 4 / np.pi
+    radius *= half
+    col, row = np.where(across, radius, minor), np.where(across, minor, radius)
+    np.copysign(col, x, out=col)
+    np.copysign(row, y, out=row)
+    col += half
+    row += half
+    last = max(n - 2, 0)
+    with np.errstate(invalid="ignore"):
+        r0, c0 = np.clip(row.astype(np.int64), 0, last), np.clip(col.astype(np.int64), 0, last)
+    row -= r0
+    col -= c0
     flat = master.reshape(-1)
-    base = lower * n * n
-    at = lambda r, c: flat[base + r * n + c]
-    return (1 - fr) * ((1 - fc) * at(r0, c0) + fc * at(r0, c1)) + fr * ((1 - fc) * at(r1, c0) + fc * at(r1, c1))
+    at = r0 * n
+    at += c0
+    at += (z < 0) * (n * n)
+    right, down = (1, n) if n > 1 else (0, 0)
+    top, bottom = flat.take(at), flat.take(at + down)
+    top += col * (flat.take(at + right) - top)
+    bottom += col * (flat.take(at + (down + right)) - bottom)
+    bottom -= top
+    bottom *= row
+    top += bottom
+    return top
 
 
 def project(master: np.ndarray, q: np.ndarray, cosines: np.ndarray) -> np.ndarray:
     """Patterns (n, pixels): the master pattern seen along ``cosines``, (pixels, 3) or (n, pixels, 3), from crystals with
     rotations q (n, 4)."""
-    return lookup(master, cosines @ np.swapaxes(matrix(q), -1, -2))
+    v = matrix(q) @ np.swapaxes(cosines, -1, -2)
+    return _intensities(master, *(v[..., k, :] for k in range(3)))
+
+
+def project_from(master: np.ndarray, q: np.ndarray, shape: tuple[int, int], pc: np.ndarray, to_detector: np.ndarray, kept: np.ndarray | None = None) -> np.ndarray:
+    """``project`` along the ``direction_cosines`` of projection centres pc (n, 3), one for each rotation. They aren't made:
+    turned, they are a sum of what a pixel's column and its row give."""
+    rows, cols = shape
+    x0, x1, y0, y1 = (b[..., None] for b in np.moveaxis(gnomonic_bounds(shape, pc), -1, 0))
+    x = x0 + (x1 - x0) * (np.arange(cols) + 0.5) / cols
+    y = y1 - (y1 - y0) * (np.arange(rows) + 0.5) / rows
+    turn = to_detector @ np.swapaxes(matrix(q), -1, -2)
+    flat = lambda v: v.reshape(len(v), -1) if kept is None else v.reshape(len(v), -1)[:, kept]
+    parts = [flat((y * turn[:, 1, k, None])[:, :, None] + (x * turn[:, 0, k, None] + turn[:, 2, k, None])[:, None, :]) for k in range(3)]
+    length = flat(np.sqrt((y * y + 1)[:, :, None] + (x * x)[:, None, :]))
+    return _intensities(master, *parts, length)
 
 
 def stereographic_to_vector(x: np.ndarray, y: np.ndarray, pole: int = -1) -> np.ndarray:

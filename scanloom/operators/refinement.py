@@ -21,8 +21,8 @@ from scanloom.operators.detector import Detector
 from scanloom.operators.master_pattern import MASTER_BYTES, MasterPattern
 from scanloom.storage import bounded_batches
 
-#: Patterns refined together.
-TOGETHER = 64
+#: Patterns refined together at most, bytes of them, and pixels projected at once.
+TOGETHER, BYTES, AT_ONCE = 1024, 32 << 20, 1 << 15
 #: Where the sine of Phi is less, the first and last Bunge angles turn about nearly the same axis, and small turns about
 #: another one are far away in them. There, angles are those of the rotation times ASIDE, whose Phi is near 90 degrees.
 POLE, ASIDE = 0.25, np.array([np.sqrt(0.5), np.sqrt(0.5), 0.0, 0.0])
@@ -83,9 +83,16 @@ def refine_block(patterns: np.ndarray, q: np.ndarray, pc: np.ndarray, kinds: Seq
         return turned, (x[:, -3:] if "pc" in kinds else pc[rows])
 
     def loss(rows: np.ndarray, x: np.ndarray) -> np.ndarray:
-        turned, at = split(rows, x)
-        seen = fixed[rows] if fixed is not None else kg.direction_cosines(shape, at, to_detector, kept)
-        return 1 - np.einsum("ij,ij->i", ready[every[rows]], _prepared(kg.project(master, turned, seen)))
+        out = np.empty(len(rows))
+        at_once = max(1, AT_ONCE // max(1, ready.shape[1]))
+        for k in range(0, len(rows), at_once):
+            some = slice(k, k + at_once)
+            turned, at = split(rows[some], x[some])
+            seen = kg.project(master, turned, fixed[rows[some]]) if fixed is not None else kg.project_from(master, turned, shape, at, to_detector, kept)
+            seen -= seen.mean(axis=1, keepdims=True)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                out[some] = 1 - np.einsum("ij,ij->i", ready[every[rows[some]]], seen) / np.sqrt(np.einsum("ij,ij->i", seen, seen))
+        return out
 
     if method == "differential_evolution":
         x, value, count = optimise.differential_evolution(loss, lower, upper, x0, seed=seed)
@@ -121,7 +128,8 @@ def refine(points: DataFrame, kinds: Sequence[str], detector: Detector, master_p
             raise ValueError("a detector with several projection centres needs points with pcx, pcy and pcz")
         points = points.withColumns({n: F.lit(float(v)) for n, v in zip(("pcx", "pcy", "pcz"), detector.pc_flattened[0], strict=True)})
     spark = points.sparkSession
-    bounded_batches(spark, TOGETHER)
+    together = max(1, min(TOGETHER, BYTES // (8 * detector.size)))
+    bounded_batches(spark, together)
     sent = spark.sparkContext.broadcast(master)
     shape, to_detector = detector.shape, detector.sample_to_detector
     kept = None if signal_mask is None else ~np.asarray(signal_mask, bool).ravel()
@@ -133,8 +141,8 @@ def refine(points: DataFrame, kinds: Sequence[str], detector: Detector, master_p
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, TOGETHER):
-                b = batch.slice(at, TOGETHER)
+            for at in range(0, batch.num_rows, together):
+                b = batch.slice(at, together)
                 block, whole = to_block(b.column(column), shape[0] * shape[1])
                 v = np.stack([b.column(n).to_numpy(zero_copy_only=False).astype(float) for n in numbers], axis=1)
                 fine = whole & np.isfinite(v).all(axis=1)

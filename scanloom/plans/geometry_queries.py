@@ -313,7 +313,9 @@ def euler_grid(spark, d):
 def _simulated(spark, d):
     """Simulated patterns and orientations a little off: one for each row of the table, or sixteen if there is none."""
     grid = _quaternions(spark, d) if d else spark.createDataFrame([(k, *map(float, q)) for k, q in enumerate(_some_rotations())], "idx bigint, a double, b double, c double, d double")
-    seen = _BANDS.get_patterns(grid, _SCREEN)
+    rows = grid.count()  # a row takes long to refine: they are dealt out evenly, whatever files they come from
+    tasks = max(-(-rows // 512), min(spark.sparkContext.defaultParallelism, -(-rows // 64)), 1)
+    seen = _BANDS.get_patterns(grid.repartition(tasks), _SCREEN)
     tilt = math.radians(0.8)
     q = (F.cos(F.lit(tilt / 2)), F.sin(F.lit(tilt / 2)))
     a, b, c, e = (F.col(n) for n in "abcd")

@@ -258,3 +258,26 @@ def test_orientations_near_a_pole_of_their_angles_are_refined(kinds):
     trust = (3, 3, 3, 0.05, 0.05, 0.05)[: 3 * len(kinds)]
     out = refinement.refine_block(seen, started, pc, kinds, master, screen.shape, screen.sample_to_detector, trust_region=trust)
     assert np.rad2deg(kg.misorientation_angle(out["q"], truth)).max() < 0.2
+
+
+@pytest.mark.parametrize("kept", [None, np.arange(48) % 5 != 0])
+def test_patterns_are_projected_from_projection_centres_as_along_cosines(kept):
+    rng, turn = np.random.default_rng(8), kg.sample_to_detector(70, 5, 2, 1)
+    q, pc, master = rng.normal(size=(40, 4)), rng.uniform(0.3, 0.8, (40, 3)), rng.normal(size=(2, 31, 31))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    v = kg.direction_cosines((6, 8), pc, turn, kept)
+    xy = kg.vector_to_lambert(v @ np.swapaxes(kg.matrix(q), -1, -2)) / np.sqrt(np.pi / 2) * 15 + 15
+    up = (v @ np.swapaxes(kg.matrix(q), -1, -2))[..., 2] >= 0
+    i, j = np.floor(xy[..., 1]).astype(int).clip(0, 29), np.floor(xy[..., 0]).astype(int).clip(0, 29)
+    f, g, half = xy[..., 1] - i, xy[..., 0] - j, np.where(up, 0, 1)
+    wanted = (1 - f) * (1 - g) * master[half, i, j] + (1 - f) * g * master[half, i, j + 1] + f * (1 - g) * master[half, i + 1, j] + f * g * master[half, i + 1, j + 1]
+    np.testing.assert_allclose(kg.project_from(master, q, (6, 8), pc, turn, kept), wanted, atol=1e-9)
+    np.testing.assert_allclose(kg.project(master, q, v), wanted, atol=1e-9)
+
+
+def test_refinement_is_dealt_out_evenly(spark, tmp_path):
+    """A table in one file is refined by several tasks, with as many rows in each."""
+    spark.range(600).select(F.col("id").alias("vec_id"), F.array(F.lit(0.0)).cast("array<float>").alias("embedding"), F.lit(0).alias("label")).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    seen, _ = gq._simulated(spark, str(tmp_path))
+    rows = [r["count"] for r in seen.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(rows) == 600 and len(rows) > 1 and max(rows) - min(rows) <= len(rows)
